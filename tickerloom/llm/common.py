@@ -48,3 +48,9 @@ def id_remainder(mod: int, doc_id: str = "doc_id") -> F.Column:
 
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Bounds what a Python worker holds at once: by rows, and by bytes for long texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)

@@ -9,6 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import judge_quality
+
+    return judge_quality(table(spark, sf_dir, "documents"))
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op7_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 
