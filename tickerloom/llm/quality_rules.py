@@ -13,14 +13,13 @@ Only the counts of the distinct vote patterns reach the driver; there are at mos
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, small_batches, stored
+from .common import WORD, stored
+from .texts import with_columns
 
 SPACE = b" \t\n\x0b\x0c\r"
 SYMBOLS = b"#*$%&|<>"
@@ -45,7 +44,8 @@ RULES = (
 #: The typical word length that ``length_offset`` is measured from.
 MEAN_LENGTH = 5.5
 
-SCHEMA = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, votes int"
+FIELDS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, votes int"
+NAMES = [x.split()[0] for x in FIELDS.split(", ")]
 
 
 def repeat_words(words: list[bytes]) -> int:
@@ -99,12 +99,8 @@ def measure(text: str | None) -> tuple[int, int, int, int, int, int]:
     return n, chars, symbols, dup, repeat, votes
 
 
-def _measured(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    names = [x.split()[0] for x in SCHEMA.split(", ")]
-    for batch in batches:
-        rows = pd.DataFrame([measure(t) for t in batch["text"]], columns=names[1:])
-        rows.insert(0, "doc_id", batch["doc_id"].array)
-        yield rows
+def _measured(texts: list) -> dict[str, list]:
+    return dict(zip(NAMES, map(list, zip(*map(measure, texts), strict=True)), strict=True))
 
 
 def estimate(patterns: np.ndarray, counts: np.ndarray, rounds: int = 500, tolerance: float = 1e-10) -> tuple[float, np.ndarray, np.ndarray]:
@@ -154,8 +150,8 @@ def judge_quality(docs: DataFrame, keep_from: float = 0.5) -> DataFrame:
     true. Rows are judged one by one, so repeated rows and null ids give a row
     each; other columns are ignored. An empty table gives no rows.
     """
-    small_batches(docs.sparkSession)
-    measured = stored(docs.select(F.col("doc_id").cast("long"), F.col("text")).mapInPandas(_measured, SCHEMA), "votes")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    measured = stored(with_columns(rows, _measured, FIELDS, keep=["doc_id"]), "votes")
     seen = measured.groupBy("votes").count().orderBy("votes").collect()  # at most 3 ** len(RULES) rows
     codes = np.array([r["votes"] for r in seen], dtype=np.int64)
     patterns = codes[:, None] // 3 ** np.arange(len(RULES)) % 3 - 1
