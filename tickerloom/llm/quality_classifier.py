@@ -138,7 +138,7 @@ def sparse(raw: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return where, (np.concatenate([gn / max(1, gn.sum()), wn / max(1, wn.sum()), three]) / 3).astype(np.float32)
 
 
-def fit(texts: list[bytes], labels: list[int], bits: int = 17, dim: int = 8, epochs: int = 12, rate: float = 4.0, seed: int = 7) -> Model:
+def fit(texts: list[bytes], labels: list[int], bits: int = 17, dim: int = 8, epochs: int = 12, rate: float = 0.5, vector_rate: float = 1.5, seed: int = 7) -> Model:
     """Numpy SGD; without two classes the model is the smoothed share of label 1."""
     y = np.array(labels, dtype=np.int64)
     share = (y.sum() + 1) / (len(y) + 2)
@@ -153,7 +153,7 @@ def fit(texts: list[bytes], labels: list[int], bits: int = 17, dim: int = 8, epo
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
             where, weight = rows[i]
-            lr = rate * (1 - done / steps)
+            fall = 1 - done / steps
             done += 1
             own = vectors[where]
             doc = weight @ own
@@ -162,9 +162,9 @@ def fit(texts: list[bytes], labels: list[int], bits: int = 17, dim: int = 8, epo
             p /= p.sum()
             p[y[i]] -= 1
             back = out @ p
-            out -= (0.25 * lr) * np.outer(doc, p)
-            bias -= (0.05 * lr) * p
-            vectors[where] = own - (25 * lr) * np.outer(weight, back)
+            out -= (rate * fall) * np.outer(doc, p)
+            bias -= (0.05 * rate * fall) * p
+            vectors[where] = own - (vector_rate * fall) * np.outer(weight, back)
     return Model((vectors @ (out[:, 1] - out[:, 0])).astype(np.float32), float(bias[1] - bias[0]), bits)
 
 

@@ -39,6 +39,12 @@ def op7_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op9_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontamination import find_overlaps
+
+    return find_overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op10_quality_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality_classifier import classify_quality
 

@@ -32,3 +32,18 @@ def with_columns(df: DataFrame, fn: Callable[[list], dict[str, Sequence]], field
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *kinds.names])
 
     return df.mapInArrow(run, schema)
+
+
+def made_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, Sequence]], fields: str) -> DataFrame:
+    """Any number of rows of ``fields`` (DDL) from each batch of ``df``, given as lists by column."""
+    small_batches(df.sparkSession)
+    schema = T.StructType.fromDDL(fields)
+    kinds = to_arrow_schema(schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                made = fn(batch.to_pydict())
+                yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in kinds], schema=kinds)
+
+    return df.mapInArrow(run, schema)
