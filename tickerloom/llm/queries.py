@@ -43,6 +43,15 @@ def op5_language_bigru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_languages(table(spark, sf_dir, "documents"))
 
 
+def op6_id_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .token_files import token_files
+
+    read = token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op7_shard_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .sharding import shard_documents
 

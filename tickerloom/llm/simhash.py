@@ -245,3 +245,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     found = components(edges.union(ties))
     named = nodes.join(found, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
     return prints.join(named, "print", "left").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def keep_first(docs: DataFrame) -> DataFrame:
+    """All columns of the first document of each group of near duplicates.
+
+    Of rows that share a doc_id one stays. Rows with a null doc_id all stay.
+    """
+    first = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
+    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.union(docs.where("doc_id IS NULL"))
