@@ -10,14 +10,17 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 
 import numpy as np
 
 PIECE = re.compile(r"[ \t-\r]*[^ \t-\r]+|[ \t-\r]+\Z")
 ODD = (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)
 ODD_SPACE = re.compile("[" + "".join(map(chr, ODD)) + "]")
-#: Words that a worker remembers before it starts afresh.
-REMEMBERED = 300_000
+#: Words that a worker remembers before it starts afresh (about 200 bytes each).
+REMEMBERED = 1_000_000
+#: New words go to the library this many to a text.
+TOGETHER = 200
 
 
 class Encoder:
@@ -30,24 +33,46 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        # What parts words that are encoded together, itself one id.
+        self.separator = next(x for x in ("\n", " | ") if len(self._encoded([x])[0].ids) == 1)
+        self.mark = self._encoded([self.separator])[0].ids[0]
+
+    def _encoded(self, texts: list[str]) -> list:
+        return self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
 
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self._encoded(texts)]
+
+    def _learn(self, words: list[str]) -> None:
+        sign = self.separator.strip(" ")
+        plain = [w for w in words if sign not in w and (w[0] > " " or w[0] == " " < w[1:2])]
+        groups = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        rest = set(words).difference(plain)
+        for group, e in zip(groups, self._encoded([self.separator.join(g) for g in groups]), strict=True):
+            ids = np.array(e.ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark)
+            if len(cuts) != len(group) - 1:
+                rest.update(group)
+                continue
+            raw, at = ids.tobytes(), 0
+            for word, cut in zip(group, [*(4 * cuts).tolist(), len(raw)], strict=True):
+                self.known[word] = raw[at:cut]
+                at = cut + 4
+        if rest:
+            left = list(rest)
+            self.known.update(zip(left, self._ids(left), strict=True))
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        out: list[bytes] = []
-        for text in texts:
-            if not text:
-                out.append(b"")
-            elif ODD_SPACE.search(text):
-                out.append(self._ids([text])[0])
-            else:
-                pieces = PIECE.findall(text)
-                if new := list(set(pieces).difference(self.known)):
-                    self.known.update(zip(new, self._ids(new), strict=True))
-                out.append(b"".join(map(self.known.__getitem__, pieces)))
+        pieces = [PIECE.findall(t) if t and not ODD_SPACE.search(t) else [] for t in texts]
+        if new := set().union(*pieces).difference(self.known):
+            self._learn(sorted(new))
+        get = self.known.__getitem__
+        out = [b"".join(map(get, p)) for p in pieces]
+        for i, t in enumerate(texts):
+            if t and not pieces[i]:
+                out[i] = self._ids([t])[0]
         return out
 
 
