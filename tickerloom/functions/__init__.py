@@ -1 +1 @@
-"""PySpark-native record extraction and ranked search."""
+"""Column functions: text and numbers, bucket terms, page fields."""

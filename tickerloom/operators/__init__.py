@@ -1 +1 @@
-"""PySpark-native record extraction and ranked search."""
+"""Operators over DataFrames: extraction, index, search, recency, frontier, statistics."""

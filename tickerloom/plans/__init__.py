@@ -1 +1 @@
-"""PySpark-native record extraction and ranked search."""
+"""Driver queries: the test views, the queries by name, and their oracles."""

@@ -1 +1 @@
-"""PySpark-native record extraction and ranked search."""
+"""Sources and sinks: record files, pages, the ledger, fetching."""

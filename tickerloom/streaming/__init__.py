@@ -1 +1 @@
-"""PySpark-native record extraction and ranked search."""
+"""Structured Streaming: the same extraction over a folder that pages land in."""
