@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerloom.llm import decontamination, line_dedup, packing, quality_classifier, simhash
-from tickerloom.llm.common import stored, table
+from tickerloom.llm.common import free, stored, table
 
 #: Documents whose probability of quality is lower go.
 QUALITY_FROM = 0.3
@@ -20,7 +20,8 @@ QUALITY_FROM = 0.3
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled ones, doesn't reject."""
     model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
-    return quality_classifier.score(docs, model, "_score").where(F.col("_score") >= QUALITY_FROM).drop("_score")
+    name = free(docs.columns, "_score")
+    return quality_classifier.score(docs, model, name).where(F.col(name) >= QUALITY_FROM).drop(name)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -54,3 +54,11 @@ def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Bounds what a Python worker holds at once: by rows, and by bytes for long texts."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
+
+
+def free(columns: list[str], name: str) -> str:
+    """``name``, lengthened until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name

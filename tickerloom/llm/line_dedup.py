@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, stored
+from .common import WORD, free, stored
 from .texts import made_rows, with_columns
 
 #: Lines of fewer words are only matched exactly: one edit in five words is a similarity of 0.8.
@@ -163,8 +163,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     the input are replaced. Without rows there are none.
     """
     docs = docs.drop("n_lines", "n_same", "n_near")
-    gone = removals(docs).withColumnRenamed("doc_id", "_doc_id").withColumnRenamed("removed", "_removed")
-    joined = docs.join(gone, docs["doc_id"] == gone["_doc_id"], "left").drop("_doc_id")
+    key, gone, row = (free(docs.columns, n) for n in ("_doc_id", "_removed", "_row"))
+    listed = removals(docs).toDF(key, gone)
+    joined = docs.join(listed, docs["doc_id"] == listed[key], "left").drop(key)
     names = [n for n in docs.columns if n != "text"]
 
     def rebuilt(rows: list) -> dict[str, list]:
@@ -187,5 +188,5 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                 out[name].append(value)
         return out
 
-    packed = joined.select(*names, F.struct("text", F.col("_removed").alias("removed"), F.col("doc_id").isNotNull().alias("own")).alias("_row"))
-    return with_columns(packed, rebuilt, "text string, n_lines long, n_same long, n_near long", column="_row", keep=names).select(*docs.columns, "n_lines", "n_same", "n_near")
+    packed = joined.select(*names, F.struct("text", F.col(gone).alias("removed"), F.col("doc_id").isNotNull().alias("own")).alias(row))
+    return with_columns(packed, rebuilt, "text string, n_lines long, n_same long, n_near long", column=row, keep=names).select(*docs.columns, "n_lines", "n_same", "n_near")
