@@ -20,7 +20,9 @@ BLOCK = 1024
 SLOTS = 1024
 GROUPS = 32
 U = np.uint64
-TOP, BOTTOM = U(1 << 56), U(1 << 48)
+#: Ids are given out by 16 bits: the width of an interval is kept at BOTTOM or more,
+#: above the 39 bits that the three divisions of a step can take.
+TOP, BOTTOM, UNIT = U(1 << 48), U(1 << 42), U(16)
 LIMIT = 4096
 STEP = 24
 
@@ -44,41 +46,50 @@ def group_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 GROUP, FIRST, BELOW = group_tables()
 
 
+RANKS = np.arange(GROUPS, dtype=np.int8)[:, None]
+
+
 class Models:
-    """The state of all blocks: followers, weights of the mixture and frequencies of groups."""
+    """The state of all blocks: followers, weights of the mixture and running sums of the groups' frequencies."""
 
     def __init__(self, n: int) -> None:
         self.n = n
-        self.lane = np.arange(n)
+        self.lane = np.arange(n, dtype=np.int32)
         self.one = np.full(n * SLOTS, -1, np.int32)
         self.two = np.full(n * SLOTS, -1, np.int32)
         self.weights = np.repeat(np.array([[24], [24], [48]], np.int32), n * 4, axis=1)
-        self.groups = np.ones((GROUPS, n), np.int32)
-        self.last = np.zeros(n, np.int64)
-        self.before = np.zeros(n, np.int64)
+        self.sums = np.repeat(np.arange(GROUPS + 1, dtype=np.int32)[:, None], n, axis=1)
+        self.last = np.zeros(n, np.uint32)
+        self.before = np.zeros(n, np.uint32)
 
     def predict(self) -> None:
-        """Sets both guesses, the mixture of their state, and the running sums of the groups."""
-        self.at1 = self.lane * SLOTS + ((self.last * 0x9E3779B1 >> 7) & (SLOTS - 1))
-        self.at2 = self.lane * SLOTS + (((self.last * 0x85EBCA6B + self.before * 0xC2B2AE35) >> 9) & (SLOTS - 1))
-        self.guess1, self.guess2 = self.one[self.at1], self.two[self.at2]
-        state = (self.guess2 >= 0) * 2 + ((self.guess1 >= 0) & (self.guess1 != self.guess2))
-        self.state = self.lane * 4 + state
-        self.mix = self.weights[:, self.state]
-        self.sums = self.groups.cumsum(0, dtype=np.int32)
+        """Sets both guesses and the mixture of their state."""
+        own = self.lane * np.int32(SLOTS)
+        self.at1 = own + ((self.last * np.uint32(0x9E3779B1) >> np.uint32(16)) & np.uint32(SLOTS - 1)).view(np.int32)
+        self.at2 = own + (((self.last * np.uint32(0x85EBCA6B) + self.before * np.uint32(0xC2B2AE35)) >> np.uint32(16)) & np.uint32(SLOTS - 1)).view(np.int32)
+        self.guess1, self.guess2 = self.one.take(self.at1), self.two.take(self.at2)
+        state = (self.guess2 >= 0).view(np.int8) * np.int8(2) + ((self.guess1 >= 0) & (self.guess1 != self.guess2)).view(np.int8)
+        self.state = self.lane * np.int32(4) + state
+        self.mix = self.weights.take(self.state, axis=1)
+
+    def spans(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The running sum before each lane's group, and the group's frequency."""
+        flat, at = self.sums.reshape(-1), group * self.n + self.lane
+        below = flat.take(at)
+        return below.astype(U), (flat.take(at + self.n) - below).astype(U)
 
     def learn(self, ids: np.ndarray, event: np.ndarray, group: np.ndarray) -> None:
         self.weights[event, self.state] += STEP
         full = np.flatnonzero(self.mix.sum(0) > LIMIT - STEP)
         if len(full):
             self.weights[:, self.state[full]] = (self.weights[:, self.state[full]] + 1) >> 1
-        self.groups[group, self.lane] += STEP
+        self.sums[1:] += (RANKS >= group.astype(np.int8)).view(np.int8) * np.int32(STEP)
         full = np.flatnonzero(self.sums[-1] > LIMIT - STEP)
         if len(full):
-            self.groups[:, full] = (self.groups[:, full] + 1) >> 1
+            self.sums[1:, full] = ((np.diff(self.sums[:, full], axis=0) + 1) >> 1).cumsum(0)
         self.one[self.at1] = ids
         self.two[self.at2] = ids
-        self.before, self.last = self.last, ids
+        self.before, self.last = self.last, ids.astype(np.uint32)
 
     def keep(self, n: int) -> None:
         """Goes on with the first ``n`` blocks only; the others have ended."""
@@ -86,7 +97,7 @@ class Models:
             self.n = n
             self.lane = self.lane[:n]
             self.one, self.two, self.weights = self.one[: n * SLOTS], self.two[: n * SLOTS], np.ascontiguousarray(self.weights[:, : n * 4])
-            self.groups, self.last, self.before = np.ascontiguousarray(self.groups[:, :n]), self.last[:n], self.before[:n]
+            self.sums, self.last, self.before = np.ascontiguousarray(self.sums[:, :n]), self.last[:n], self.before[:n]
 
 
 def encode(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
@@ -98,8 +109,8 @@ def encode(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     starts = (lengths.cumsum() - lengths)[order]
     sizes = lengths[order]
     low, width = np.zeros(n, U), np.full(n, ~U(0))
-    room = 4 * int(sizes[0]) + 16
-    out, used = np.zeros((n, room), np.uint8), np.zeros(n, np.int64)
+    room = 4 * int(sizes[0]) + 8
+    out, used = np.zeros((n, room), np.uint16), np.zeros(n, np.int64)
     models = Models(n)
     for t in range(int(sizes[0])):
         m = int(np.searchsorted(-sizes, -t, "left"))
@@ -114,32 +125,33 @@ def encode(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
         lo = low[:m] + part * np.where(event == 0, U(0), np.where(event == 1, edge1, edge2))
         w = part * mix[event, models.lane]
         # Order 0: the group of the id, then its place in the group.
-        share = models.groups[group, models.lane]
+        below, share = models.spans(group)
         part = w // models.sums[-1].astype(U)
-        rest = part * share.astype(U) >> BELOW[group]
+        rest = part * share >> BELOW[group]
         far = event == 2
-        lo += np.where(far, part * (models.sums[group, models.lane] - share).astype(U) + rest * (x - FIRST[group]).astype(U), U(0))
+        lo += np.where(far, part * below + rest * (x - FIRST[group]).astype(U), U(0))
         w = np.where(far, rest, w)
         models.learn(x, event, group)
         _shift(lo, w, out, used)
         low[:m], width[:m] = lo, w
-    for _ in range(8):
-        out[np.arange(n), used] = (low >> U(56)).astype(np.uint8)
+    for _ in range(4):
+        out[np.arange(n), used] = (low >> U(48)).astype(np.uint16)
         used += 1
-        low <<= U(8)
-    made = [out[i, : used[i]].tobytes() for i in range(n)]
+        low <<= UNIT
+    made = [out[i, : used[i]].astype(">u2").tobytes() for i in range(n)]
     return [made[i] for i in np.argsort(order, kind="stable").tolist()]
 
 
 def _shift(low: np.ndarray, width: np.ndarray, out: np.ndarray, used: np.ndarray) -> None:
-    """Gives out the bytes that are settled, until every width is wide enough."""
+    """Gives out the bits that are settled, until every width is wide enough."""
     rows = np.flatnonzero(((low ^ (low + width)) < TOP) | (width < BOTTOM))
     while len(rows):
         a, w = low[rows], width[rows]
         w = np.where((a ^ (a + w)) < TOP, w, (~a + U(1)) & (BOTTOM - U(1)))
-        out[rows, used[rows]] = (a >> U(56)).astype(np.uint8)
-        used[rows] += 1
-        a, w = a << U(8), w << U(8)
+        at = used[rows]
+        out[rows, at] = (a >> U(48)).astype(np.uint16)
+        used[rows] = at + 1
+        a, w = a << UNIT, w << UNIT
         low[rows], width[rows] = a, w
         rows = rows[((a ^ (a + w)) < TOP) | (w < BOTTOM)]
 
@@ -154,12 +166,12 @@ def decode(blocks: list[bytes], lengths: np.ndarray) -> np.ndarray:
     sizes = lengths[order]
     ids = np.zeros(int(lengths.sum()), np.uint32)
     raw = [blocks[i] for i in order.tolist()]
-    room = max(map(len, raw)) + 16
-    data = np.frombuffer(b"".join(b.ljust(room, b"\0") for b in raw), np.uint8).reshape(n, room)
+    room = (max(map(len, raw)) + 17) // 2
+    data = np.frombuffer(b"".join(b.ljust(2 * room, b"\0") for b in raw), ">u2").reshape(n, room).astype(np.uint16)
     low, width, code = np.zeros(n, U), np.full(n, ~U(0)), np.zeros(n, U)
-    for k in range(8):
-        code = code << U(8) | data[:, k].astype(U)
-    used = np.full(n, 8, np.int64)
+    for k in range(4):
+        code = code << UNIT | data[:, k].astype(U)
+    used = np.full(n, 4, np.int64)
     models = Models(n)
     for t in range(int(sizes[0])):
         m = int(np.searchsorted(-sizes, -t, "left"))
@@ -175,10 +187,11 @@ def decode(blocks: list[bytes], lengths: np.ndarray) -> np.ndarray:
         w = part * mix[event, models.lane]
         ahead = c - lo
         part = w // models.sums[-1].astype(U)
-        g = np.minimum((models.sums <= (ahead // part).astype(np.int32)).sum(0), GROUPS - 1)
-        share = models.groups[g, models.lane]
-        below = part * (models.sums[g, models.lane] - share).astype(U)
-        rest = part * share.astype(U) >> BELOW[g]
+        passed = (models.sums[1:] <= (ahead // part).astype(np.int32)).view(np.int8)
+        g = np.minimum(np.add.reduce(passed, axis=0, dtype=np.int8), GROUPS - 1).astype(np.int64)
+        below, share = models.spans(g)
+        below *= part
+        rest = part * share >> BELOW[g]
         place = np.minimum((ahead - below) // rest, (U(1) << BELOW[g]) - U(1))
         far = event == 2
         lo += np.where(far, below + rest * place, U(0))
@@ -198,9 +211,9 @@ def _refill(low: np.ndarray, width: np.ndarray, code: np.ndarray, data: np.ndarr
         a, w = low[rows], width[rows]
         w = np.where((a ^ (a + w)) < TOP, w, (~a + U(1)) & (BOTTOM - U(1)))
         at = used[rows]
-        code[rows] = code[rows] << U(8) | data[rows, np.minimum(at, data.shape[1] - 1)].astype(U)
+        code[rows] = code[rows] << UNIT | data[rows, np.minimum(at, data.shape[1] - 1)].astype(U)
         used[rows] = at + 1
-        a, w = a << U(8), w << U(8)
+        a, w = a << UNIT, w << UNIT
         low[rows], width[rows] = a, w
         rows = rows[((a ^ (a + w)) < TOP) | (w < BOTTOM)]
 
