@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+from collections import Counter
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import buckets, pages, text
 from ..operators import extraction, frontier, index, recency, search, statistics
+from ..sources.records import write_records
 from . import oracles
 from .views import AS_OF, HALF_LIFE, HTML_PAGES, SNAPSHOTS
 
@@ -34,6 +38,19 @@ def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, HTML_PAGES)
 
 
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that the session names as shared; a temporary one only where it names none."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def _built(bags: DataFrame) -> index.Index:
+    """The index of bags that are written once, since its tables read them several times."""
+    path = _scratch(bags.sparkSession, "bags")
+    bags.write.parquet(path)
+    return index.build(bags.sparkSession.read.schema(bags.schema).parquet(path))
+
+
 def document_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.tokens(C("text")).alias("terms"))
 
@@ -57,11 +74,11 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def _document_search(query: str, **options) -> Query:
-    return lambda s, d: _rounded(search.search(index.build(document_bags(s, d)), query, **options))
+    return lambda s, d: _rounded(search.search(_built(document_bags(s, d)), query, **options))
 
 
 def _record_search(query: str, **options) -> Query:
-    return lambda s, d: _rounded(search.search(index.build(record_bags(s, d)), query, **options))
+    return lambda s, d: _rounded(search.search(_built(record_bags(s, d)), query, **options))
 
 
 
@@ -86,34 +103,34 @@ def doc_length(s: SparkSession, d: str) -> DataFrame:
 
 
 def idf_terms(s: SparkSession, d: str) -> DataFrame:
-    return index.build(document_bags(s, d)).lexicon.select("term", "df", F.round("idf", 6).alias("idf"), F.round("bm25_idf", 6).alias("bm25_idf"))
+    return _built(document_bags(s, d)).lexicon.select("term", "df", F.round("idf", 6).alias("idf"), F.round("bm25_idf", 6).alias("bm25_idf"))
 
 
 def tfidf_weights(s: SparkSession, d: str) -> DataFrame:
-    return index.build(document_bags(s, d)).postings.select("term", "doc_id", "tf", "doc_len", F.round("weight", 8).alias("weight"))
+    return _built(document_bags(s, d)).postings.select("term", "doc_id", "tf", "doc_len", F.round("weight", 8).alias("weight"))
 
 
 def doc_norms(s: SparkSession, d: str) -> DataFrame:
-    return index.build(document_bags(s, d)).docs.select("doc_id", F.round("norm", 6).alias("norm"))
+    return _built(document_bags(s, d)).docs.select("doc_id", F.round("norm", 6).alias("norm"))
 
 
 def topk_20(s: SparkSession, d: str) -> DataFrame:
-    return _rounded(search.search(index.build(record_bags(s, d)), "move_flat price_high", 20, require_all=False))
+    return _rounded(search.search(_built(record_bags(s, d)), "move_flat price_high", 20, require_all=False))
 
 
 def ranked_hits(s: SparkSession, d: str) -> DataFrame:
-    return _rounded(search.ranked(search.search(index.build(record_bags(s, d)), "move_flat price_high", 15, require_all=False, method="bm25")))
+    return _rounded(search.ranked(search.search(_built(record_bags(s, d)), "move_flat price_high", 15, require_all=False, method="bm25")))
 
 
 def search_hits(s: SparkSession, d: str) -> DataFrame:
-    built = index.build(record_bags(s, d))
+    built = _built(record_bags(s, d))
     hits = search.search(built, "cap_large move_surge", 10, at="at", as_of=_as_of(), half_life=HALF_LIFE)
     shown = search.with_records(hits, records(s, d))
     return _rounded(shown.select("rank", "doc_id", "score", "company", "symbol", "exchange", "current_price", "calculated_percentage_change", "market_cap", "timestamp", "founded", "revenue"))
 
 
 def tfidf_recency(s: SparkSession, d: str) -> DataFrame:
-    built = index.build(record_bags(s, d))
+    built = _built(record_bags(s, d))
     return _rounded(search.search(built, "exchange_nation_3 price_low", 10, require_all=False, at="at", as_of=_as_of(), half_life=HALF_LIFE))
 
 
@@ -135,26 +152,16 @@ def record_terms(s: SparkSession, d: str) -> DataFrame:
 
 
 def query_terms(s: SparkSession, d: str) -> DataFrame:
-    """The terms of one query line and how often each stands in it, with its frequency in the records."""
+    """The terms of one query line, how often each stands in it, and its frequency in the records."""
     line = "Holdings symbol_C7 price_low price_low Cap_Mega a moccasin_x founded_1970s"
-    found: dict[str, int] = {}
-    for t in search.query_terms(line):
-        found[t] = found.get(t, 0) + 1
-    asked = s.createDataFrame(list(found.items()), "term string, in_query long")
-    return F.broadcast(asked).join(index.build(record_bags(s, d)).lexicon.select("term", "df"), "term", "right").where("in_query IS NOT NULL").unionByName(
-        asked.join(index.build(record_bags(s, d)).lexicon, "term", "left_anti").withColumn("df", F.lit(0).cast("long"))
-    )
+    asked = s.createDataFrame(list(Counter(search.query_terms(line)).items()), "term string, in_query long")
+    lexicon = _built(record_bags(s, d)).lexicon.where(C("term").isin([r["term"] for r in asked.collect()])).select("term", "df")
+    return asked.join(lexicon, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
 
 
 def scan_records(s: SparkSession, d: str) -> DataFrame:
     """Records written as Parquet to the session's scratch folder and read back by schema."""
-    import tempfile
-    import uuid
-
-    base = s.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{base.rstrip('/')}/records-{uuid.uuid4().hex}"
-    from ..sources.records import write_records
-
+    path = _scratch(s, "records")
     write_records(records(s, d), path)
     return s.read.schema(extraction.RECORD).parquet(path)
 
@@ -235,11 +242,11 @@ def ledger_rows(s: SparkSession, d: str) -> DataFrame:
 
 
 def top_terms(s: SparkSession, d: str) -> DataFrame:
-    return index.top_terms(index.build(document_bags(s, d)))
+    return index.top_terms(_built(document_bags(s, d)))
 
 
 def index_stats(s: SparkSession, d: str) -> DataFrame:
-    return index.statistics(index.build(record_bags(s, d)), recency.latest_snapshots(snapshots(s, d)))
+    return index.statistics(_built(record_bags(s, d)), recency.latest_snapshots(snapshots(s, d)))
 
 
 def corpus_stats(s: SparkSession, d: str) -> DataFrame:
