@@ -138,9 +138,10 @@ def searched_links(prints: np.ndarray, batch: int = 128) -> tuple[np.ndarray, np
     waiting: list[int] = []
     from_, to = [], []
     while len(left):
-        new = [] if len(waiting) >= batch else left[: batch - len(waiting)].tolist()
-        now = np.array([*waiting[:batch], *new], dtype=np.int64)
-        waiting = waiting[batch:]
+        size = max(1, min(batch, (1 << 26) // len(left)))  # 2 ** 20 words of lanes at once
+        new = [] if len(waiting) >= size else left[: size - len(waiting)].tolist()
+        now = np.array([*waiting[:size], *new], dtype=np.int64)
+        waiting = waiting[size:]
         upright, active = planes(prints[left]), lanes(len(left))
         width = upright.shape[1]
         query = prints[now]
