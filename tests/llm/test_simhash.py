@@ -72,6 +72,57 @@ def test_both_searches_lose_no_link():
             assert [found.get(i, i) for i in range(n)] == [want[i] for i in range(n)]
 
 
+def chained(rng, n):
+    """Distinct prints in sparse chains: each link flips four bits of the last, so few links lead round a lost one."""
+    out = []
+    while len(out) < n:
+        p = rng.getrandbits(64)
+        for _ in range(rng.randint(1, 40)):
+            out.append(p)
+            for bit in rng.sample(range(64), 4):
+                p ^= 1 << bit
+    out = np.array(sorted(set(out)), np.uint64)
+    rng.shuffle(out)
+    return out
+
+
+def linked_sets(prints):
+    """The smallest index of each one's component, from all distances."""
+    near = np.bitwise_count(prints[:, None] ^ prints[None, :]) <= 4
+    label = np.arange(len(prints))
+    while True:
+        new = np.where(near, label[None, :], len(prints)).min(1)
+        if (new == label).all():
+            return label.tolist()
+        label = new
+
+
+def found_sets(prints, batch=128):
+    low, high = S.stars(*S.searched_links(prints, batch), np.arange(len(prints)))
+    found = dict(zip(high, low, strict=True))
+    return [found.get(i, i) for i in range(len(prints))]
+
+
+def test_search_compares_waiting_ones_of_different_sources():
+    rng = random.Random(3)
+    far = [rng.getrandbits(64) for _ in range(126)]
+    x = rng.getrandbits(64)
+    flips = [sum(1 << b for b in range(k, k + 4)) for k in (0, 4, 8)]
+    a, b, y = x ^ flips[0], x ^ flips[0] ^ flips[1], x ^ flips[0] ^ flips[1] ^ flips[2]
+    prints = np.array([x, y, *far, a, b], np.uint64)  # links X-A, A-B, B-Y only
+    assert found_sets(prints) == linked_sets(prints)
+    assert {found_sets(prints)[i] for i in (0, 1, 128, 129)} == {0}
+
+
+def test_search_of_sparse_chains():
+    for seed in range(40):
+        rng = random.Random(seed)
+        prints = chained(rng, rng.randint(200, 700))
+        want = linked_sets(prints)
+        for batch in (128,) if seed > 1 else (16, 128):
+            assert found_sets(prints, batch) == want, (seed, batch)
+
+
 def test_every_close_pair_shares_a_table():
     rng = random.Random(2)
     masks = [m & (2**64 - 1) for m in S.masks()]

@@ -131,46 +131,63 @@ def shifted_links(prints: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np
 def searched_links(prints: np.ndarray, batch: int = 128) -> tuple[np.ndarray, np.ndarray]:
     """Edges that connect what is connected, in one large group, by a breadth-first search.
 
-    A batch of fingerprints is compared with all that aren't visited yet; what it
-    reaches is visited and comes next. When nothing waits, unvisited ones start anew.
+    A batch of fingerprints is compared with all that aren't visited yet and with
+    those that wait in other components; what it reaches joins its component and
+    waits. Small components come first, then unvisited ones start anew. Once all
+    that is left waits in one component, no comparison can connect more.
     """
     left = np.arange(len(prints))
-    waiting: list[int] = []
+    waiting = label = np.zeros(0, np.int64)  # a label is one member of the component
     from_, to = [], []
-    while len(left):
-        size = max(1, min(batch, (1 << 26) // len(left)))  # 2 ** 20 words of lanes at once
-        new = [] if len(waiting) >= size else left[: size - len(waiting)].tolist()
-        now = np.array([*waiting[:size], *new], dtype=np.int64)
-        waiting = waiting[size:]
-        upright, active = planes(prints[left]), lanes(len(left))
+    while len(left) or (label != label[:1]).any():
+        size = max(1, min(batch, (1 << 26) // (len(left) + len(waiting))))  # 2 ** 20 words of lanes at once
+        _, which, count = np.unique(label, return_inverse=True, return_counts=True)
+        order = np.lexsort((label, count[which]))
+        waiting, label = waiting[order], label[order]
+        new = left[: max(0, size - len(waiting))]
+        now, own = np.concatenate([waiting[:size], new]), np.concatenate([label[:size], new])
+        lane, of = np.concatenate([left, waiting]), np.concatenate([left, label])
+        if (own == own[0]).all():
+            lane, of = lane[of != own[0]], of[of != own[0]]
+        upright = planes(prints[lane])
         width = upright.shape[1]
         query = prints[now]
-        flat = np.tile(active, len(now))
+        flat = np.tile(lanes(len(lane)), (len(now), 1))
+        if (own != own[0]).any():  # nothing is compared with its own component
+            for c in np.unique(label[:size]):
+                flat[own == c] &= ~np.packbits(np.append(of == c, np.zeros(-len(of) % 64, bool)), bitorder="little").view(np.uint64)
+            at = np.arange(len(new))
+            flat[len(now) - len(new) + at, at // 64] &= ~(np.uint64(1) << (at % 64).astype(np.uint64))
 
         def difference(b: int, words: np.ndarray) -> np.ndarray:
             bit = np.where((query >> np.uint64(b)) & np.uint64(1), ALL, np.uint64(0))
             return upright[b, words % width] ^ bit[words // width]
 
-        at = set_lanes(*near(difference, flat))
-        who, lane = at // (width * 64), at % (width * 64)
-        other = left[lane]
-        # An edge to each reached one from the first that reaches it, and one
+        at = set_lanes(*near(difference, flat.ravel()))
+        who, hit = at // max(width * 64, 1), at % max(width * 64, 1)
+        # An edge to each reached component from the first that reaches it, and one
         # between that and every other of the batch that reaches it too.
-        order = np.lexsort((who, lane))
-        who, lane, other = who[order], lane[order], other[order]
-        first = np.ones(len(lane), bool)
-        first[1:] = lane[1:] != lane[:-1]
-        lead = who[first][np.cumsum(first) - 1] if len(lane) else who
+        order = np.lexsort((who, of[hit]))
+        who, hit = who[order], hit[order]
+        met = of[hit]
+        first = np.ones(len(met), bool)
+        first[1:] = met[1:] != met[:-1]
+        lead = who[first][np.cumsum(first) - 1] if len(met) else who
         from_.append(now[who[first]])
-        to.append(other[first])
+        to.append(lane[hit[first]])
         cross = np.unique(np.stack([lead[~first], who[~first]]), axis=1)
         from_.append(now[cross[0]])
         to.append(now[cross[1]])
-        reached = np.zeros(len(left), bool)
-        reached[lane] = True
-        started = np.isin(left, np.array(new, dtype=np.int64))
-        waiting.extend(left[reached & ~started].tolist())
-        left = left[~(reached | started)]
+        everyone = np.arange(len(prints))
+        low, high = stars(np.append(own[who[first]], own[cross[0]]), np.append(met[first], own[cross[1]]), everyone)
+        renamed = everyone.copy()
+        renamed[high] = low
+        gone = np.zeros(len(prints), bool)
+        gone[lane[hit]] = True
+        rest = left[len(new) :]
+        waiting = np.append(waiting[size:], rest[gone[rest]])
+        label = renamed[np.append(label[size:], rest[gone[rest]])]
+        left = rest[~gone[rest]]
     return np.concatenate(from_), np.concatenate(to)
 
 
