@@ -72,3 +72,14 @@ def test_rules_are_hundreds_with_keywords():
     assert len(rules()) > 200
     for r in rules():
         assert any(f" {r.keyword} " in p or r.keyword in p for p in (r.pattern,)), r
+
+
+def test_keywords_are_mandatory_words():
+    for r in rules():
+        always = re.sub(r"\(\?: [^ ]+ \)(\?|\{0,\d+\})|\(\?:[^)]*\)", " ", r.pattern)
+        assert f" {r.keyword} " in always, r
+
+
+def test_optional_word_left_out(spark):
+    row = scan_licenses(spark.createDataFrame([(1, "No part may be reproduced.")], "doc_id long, text string")).first()
+    assert (row["labels"], row["score"]) == ("reserved", 0.6)

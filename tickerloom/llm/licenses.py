@@ -124,7 +124,7 @@ SINGLE = [
     ("agpl", "affero", 1, 0.85, "gnu? affero general public license"),
     ("mpl", "mozilla", 1, 0.8, "mozilla public license"),
     ("reserved", "reserved", 1, 0.7, "all rights reserved"),
-    ("reserved", "rights", 0, 0.6, "no rights? ~1 may be reproduced"),
+    ("reserved", "reproduced", 0, 0.6, "no rights? ~1 may be reproduced"),
     ("copyright", "copyright", 0, 0.5, "copyright c? <year>"),
     ("copyright", "copyright", 0, 0.5, "copyright c"),
     ("proprietary", "proprietary", 1, 0.7, "proprietary and confidential"),
