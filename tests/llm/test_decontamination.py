@@ -109,3 +109,21 @@ def test_odd_rows(spark, odd, none):
     assert D.find_overlaps(none, bench).collect() == D.find_overlaps(odd, bench.limit(0)).collect() == []
     kept = D.clean(odd, bench)
     assert kept.columns == odd.columns and kept.count() == odd.count() - 3 and D.clean(odd, bench.limit(0)).count() == odd.count()
+
+
+def test_short_items_match_whole(spark):
+    docs = {1: "He said: to be, or not. To BE or not!", 2: "to be or", 3: "or not to be", 4: "", 5: None, 6: "not"}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "to be or not"), (2, "not"), (3, "be not"), (4, "?"), (5, "nothing else")], "item_id long, text string")
+    got = sorted(tuple(r) for r in D.find_overlaps(df, bench).collect())
+    assert got == [(1, 1, 1.0, 4, 4, 1, 4), (1, 2, 1.0, 1, 1, 1, 1), (3, 2, 1.0, 1, 1, 1, 1), (6, 2, 1.0, 1, 1, 1, 1)]
+    assert sorted(r["doc_id"] for r in D.clean(df, bench).collect()) == [2, 4, 5]
+
+
+def test_scripts_without_spaces(spark):
+    items = {1: "\u4eca\u5929\u5929\u6c14\u5f88\u597d\uff0c\u6211\u4eec\u53bb\u516c\u56ed\u3002", 2: "\u0e27\u0e31\u0e19\u0e19\u0e35\u0e49\u0e2d\u0e32\u0e01\u0e32\u0e28\u0e14\u0e35", 3: "\u6771\u4eac"}
+    docs = {k: f"\u524d\u6587{t}\u540e\u6587" for k, t in items.items()} | {4: "\u524d\u6587\u540e\u6587", 5: "\u6771 caf\u00e9 \u4eac"}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    assert sorted((r["doc_id"], r["item_id"]) for r in D.find_overlaps(df, bench).collect()) == [(1, 1), (2, 2), (3, 3)]
+    assert D.tokens("Caf\u00e9\u6771\u4eacab1") == [x.encode() for x in ("caf\u00e9", "\u6771", "\u4eac", "ab1")]

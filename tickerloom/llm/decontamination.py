@@ -18,12 +18,15 @@ from dataclasses import dataclass
 from heapq import heapify, heappop, heappush
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .texts import made_rows
 
 TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")
+#: Characters of scripts without spaces: Thai to Myanmar, Khmer, kana, Han.
+UNSPACED = re.compile("[\u0e00-\u109f\u1780-\u17ff\u3005-\u3007\u3040-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff]")
 MIN_MATCH = 5
 COVERAGE = 0.5
 #: Bytes of benchmark text that one pass carries to the documents.
@@ -33,8 +36,11 @@ FIELDS = "doc_id long, item_id long, coverage double, matched_tokens long, item_
 
 
 def tokens(text: str | None) -> list[bytes]:
-    """Lower-cased runs of ASCII letters, digits and any characters beyond ASCII."""
-    return TOKEN.findall((text or "").lower().encode("utf-8", "surrogatepass"))
+    """Lower-cased runs of ASCII letters, digits and any characters beyond ASCII; those of scripts without spaces stand alone."""
+    low = (text or "").lower()
+    if not low.isascii() and UNSPACED.search(low):
+        low = UNSPACED.sub(r" \g<0> ", low)
+    return TOKEN.findall(low.encode("utf-8", "surrogatepass"))
 
 
 def window_hashes(ids: np.ndarray, width: int) -> np.ndarray:
@@ -120,15 +126,16 @@ class Index:
     seeds: np.ndarray  # sorted
     seed_item: np.ndarray
     seed_at: np.ndarray
+    short: dict[int, dict[bytes, int]]  # items too short for a seed, by length and token numbers
 
 
 def index(rows: list[tuple[int, str | None]], min_match: int = MIN_MATCH) -> Index:
-    """Items with equal tokens count once, under the smallest id; items too short for a seed can't match."""
+    """Items with equal tokens count once, under the smallest id; items too short for a seed are kept whole."""
     vocabulary: dict[bytes, int] = {}
     distinct: dict[bytes, tuple[int, np.ndarray]] = {}
     for item_id, text in sorted(rows, key=lambda r: r[0]):
         ids = np.array([vocabulary.setdefault(t, len(vocabulary) + 1) for t in tokens(text)], np.int64)
-        if len(ids) >= min_match:
+        if len(ids):
             distinct.setdefault(ids.tobytes(), (item_id, ids))
     kept = list(distinct.values())
     hashes = [window_hashes(ids, min_match) for _, ids in kept]
@@ -136,7 +143,29 @@ def index(rows: list[tuple[int, str | None]], min_match: int = MIN_MATCH) -> Ind
     of = np.repeat(np.arange(len(kept)), [len(h) for h in hashes])
     at = np.concatenate([np.arange(len(h)) for h in hashes] or [np.zeros(0, np.int64)])
     order = np.argsort(seeds, kind="stable")
-    return Index(vocabulary, [i for i, _ in kept], [ids for _, ids in kept], seeds[order], of[order], at[order])
+    short: dict[int, dict[bytes, int]] = {}
+    for k, (_, ids) in enumerate(kept):
+        if len(ids) < min_match:
+            short.setdefault(len(ids), {})[ids.tobytes()] = k
+    return Index(vocabulary, [i for i, _ in kept], [ids for _, ids in kept], seeds[order], of[order], at[order], short)
+
+
+def _short_overlaps(ids: np.ndarray, starts: np.ndarray, ix: Index) -> list[tuple[int, int, list[tuple[int, int, int]]]]:
+    """(row, item, tile) of each pair of a text and a short item that stands in it whole."""
+    out = []
+    for width, known in ix.short.items():
+        wanted = np.concatenate([window_hashes(ix.items[k], width) for k in known.values()])
+        hit = np.flatnonzero(np.isin(window_hashes(ids, width), wanted))
+        if not len(hit):
+            continue
+        row = np.searchsorted(starts, hit, "right") - 1
+        found = np.lib.stride_tricks.sliding_window_view(ids, width)[hit]
+        _, once = np.unique(np.column_stack([row, found]), axis=0, return_index=True)
+        for r, window, i in zip(row[once].tolist(), found[once], hit[once].tolist(), strict=True):
+            k = known.get(window.tobytes())
+            if k is not None:
+                out.append((r, k, [(width, i - int(starts[r]), 0)]))
+    return out
 
 
 def overlaps(texts: list, ix: Index, min_match: int = MIN_MATCH, coverage: float = COVERAGE) -> list[tuple[int, int, list[tuple[int, int, int]]]]:
@@ -148,14 +177,15 @@ def overlaps(texts: list, ix: Index, min_match: int = MIN_MATCH, coverage: float
     ids = np.zeros(int(lengths.sum()), np.int64)  # zeros, which match nothing, keep the texts apart
     for a, x in zip(starts.tolist(), lists, strict=True):
         ids[a : a + len(x)] = x
+    out = _short_overlaps(ids, starts, ix)
     if not len(ix.seeds) or len(ids) < min_match:
-        return []
+        return out
     whole = np.flatnonzero(_all_free(ids > 0, min_match))
     hashes = window_hashes(ids, min_match)[whole]
     low = np.searchsorted(ix.seeds, hashes)
     hit = np.flatnonzero(ix.seeds[np.minimum(low, len(ix.seeds) - 1)] == hashes)
     if not len(hit):
-        return []
+        return out
     low, high = low[hit], np.searchsorted(ix.seeds, hashes[hit], "right")
     count = high - low
     seed = np.repeat(low, count) + np.arange(count.sum()) - np.repeat(count.cumsum() - count, count)
@@ -164,7 +194,6 @@ def overlaps(texts: list, ix: Index, min_match: int = MIN_MATCH, coverage: float
     order = np.argsort(pair, kind="stable")
     pair, at = pair[order], ix.seed_at[seed][order]
     bounds = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1], [True]]))
-    out = []
     for a, b in zip(bounds[:-1], bounds[1:], strict=True):
         r, k = divmod(int(pair[a]), len(ix.items))
         item = ix.items[k]
@@ -192,7 +221,8 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """One row per contaminated pair: doc_id, item_id, coverage, matched_tokens, item_tokens, n_tiles, longest_tile.
 
     Items with equal tokens count once, under their smallest id. An item shorter
-    than ``MIN_MATCH`` tokens can't match, nor can a null text. Repeated rows and
+    than ``MIN_MATCH`` tokens matches where all its tokens stand in a row. A null
+    text or one without a token can't match. Repeated rows and
     null ids of documents give rows of their own; a null item_id is left out. Other
     columns are ignored. Without pairs, or with an empty table, there are no rows.
     """
@@ -231,7 +261,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         def untouched(batches, sent=sent):
             for batch in batches:
                 hit = {r for r, _, _ in overlaps(batch.column("text").to_pylist(), sent.value)}
-                yield batch.take([i for i in range(batch.num_rows) if i not in hit]) if hit else batch
+                yield batch.take(pa.array([i for i in range(batch.num_rows) if i not in hit], pa.int64())) if hit else batch
 
         out = out.mapInArrow(untouched, out.schema)
     return out
