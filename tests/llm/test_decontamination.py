@@ -127,3 +127,12 @@ def test_scripts_without_spaces(spark):
     bench = spark.createDataFrame(list(items.items()), "item_id long, text string")
     assert sorted((r["doc_id"], r["item_id"]) for r in D.find_overlaps(df, bench).collect()) == [(1, 1), (2, 2), (3, 3)]
     assert D.tokens("Caf\u00e9\u6771\u4eacab1") == [x.encode() for x in ("caf\u00e9", "\u6771", "\u4eac", "ab1")]
+
+
+def test_equal_items_count_once_in_many_blocks(spark, monkeypatch):
+    passage = "one two three four five six seven"
+    df = spark.createDataFrame([(1, f"zero {passage} eight")], "doc_id long, text string")
+    bench = spark.createDataFrame([(k, passage.upper() if k % 2 else f"{passage}!") for k in range(3, 20)] + [(k, f"other words {k}") for k in range(20, 40)], "item_id long, text string")
+    monkeypatch.setattr(D.blocks, "__defaults__", (30,))
+    assert len(list(D.blocks(bench))) > 5
+    assert [(r["doc_id"], r["item_id"]) for r in D.find_overlaps(df, bench).collect()] == [(1, 3)]

@@ -19,9 +19,11 @@ from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import stored
 from .texts import made_rows
 
 TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -208,9 +210,24 @@ def overlaps(texts: list, ix: Index, min_match: int = MIN_MATCH, coverage: float
     return out
 
 
+def _digests(batch: dict[str, list]) -> dict[str, list]:
+    out: dict[str, list] = {"item_id": [], "text": [], "digest": []}
+    for item_id, text in zip(batch["item_id"], batch["text"], strict=True):
+        if found := tokens(text):
+            out["item_id"].append(item_id)
+            out["text"].append(text)
+            out["digest"].append(xxhash.xxh3_128_digest(b" ".join(found)))
+    return out
+
+
 def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Index]:
-    """The benchmark as indexes of a bounded size each, made on the driver one by one."""
-    items = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    """The benchmark as indexes of a bounded size each, made on the driver one by one.
+
+    Of items with equal tokens only the smallest id goes on, whatever the blocks.
+    """
+    rows = benchmark.where("item_id IS NOT NULL AND text IS NOT NULL").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    least = made_rows(rows, _digests, "item_id long, text string, digest binary").groupBy("digest").agg(F.min(F.struct("item_id", "text")).alias("item"))
+    items = stored(least.select("item.item_id", "item.text"), "benchmark")
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes)
     for k in range(n):
