@@ -1,3 +1,4 @@
+import json
 import zlib
 
 import numpy as np
@@ -7,7 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from tickerloom.llm import id_codec, packing, token_files
+from tickerloom.llm import id_codec, packing, token_files, token_ids
 from tickerloom.llm.token_ids import Encoder
 
 BYTES, WORDS = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
@@ -15,7 +16,6 @@ BYTES, WORDS = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
 
 def library(path):
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -25,45 +25,115 @@ def both(request):
         return Encoder(f.read()), library(request.param)
 
 
+def decoded(encoder, texts):
+    ids, counts = encoder.encode(texts)
+    return [x.tolist() for x in np.split(ids, counts.cumsum()[:-1])] if len(texts) else []
+
+
 @settings(max_examples=200, deadline=None)
-@given(st.lists(st.one_of(st.text(st.characters(codec="utf-8"), max_size=20), st.text("ab'sl |\n\t\r.,é\x1c\xa0  1", max_size=25)), max_size=5))
+@given(st.lists(st.one_of(st.text(st.characters(codec="utf-8"), max_size=20), st.text("ab'sl |\n\t\r.,éÜ×ß\x1c\xa0\x00  17<|>", max_size=25), st.text("Łđżİıÿabz 9-", max_size=40)), max_size=5))
 def test_encoder_equals_the_library(both, texts):
     encoder, ids = both
-    assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts)] == [ids(t) for t in texts]
+    assert decoded(encoder, texts) == [ids(t) for t in texts]
+
+
+def test_every_latin_letter_and_sign(both):
+    encoder, ids = both
+    texts = [f"a{chr(c)}b {chr(c)} x{chr(c)}9 {chr(c)}{chr(c)}." for c in range(0x590)]
+    assert decoded(encoder, texts) == [ids(t) for t in texts]
+
+
+def test_special_tokens_are_those_of_the_library(both):
+    encoder, ids = both
+    texts = ["a <|endoftext|> b", "<|startoftext|>x<|endoftext|>", "plain", "<|endoftext|", None, "", "long" * 9 + " <|endoftext|>"]
+    assert decoded(encoder, texts) == [ids(t) for t in texts]
+    if ids("<|endoftext|>") == [50256]:
+        assert decoded(encoder, texts[:1]) == [[64, 220, 50256, 275]]
 
 
 def test_encoder_on_documents(both, texts):
     encoder, ids = both
-    for t, b in zip(texts.values(), encoder.encode(list(texts.values())), strict=True):
-        assert np.frombuffer(b, "<u4").tolist() == ids(t)
+    assert decoded(encoder, list(texts.values())) == [ids(t) for t in texts.values()]
+
+
+def test_encoder_starts_afresh(both, texts, monkeypatch):
+    encoder, ids = both
+    monkeypatch.setattr(token_ids, "MAX_WORDS", 50)
+    some = list(texts.values())[:20]
+    for t in some:
+        assert decoded(encoder, [t]) == [ids(t)]
+
+
+def test_other_definitions_go_to_the_library(texts):
+    with open(BYTES, encoding="utf-8") as f:
+        described = json.load(f)
+    described["pre_tokenizer"]["add_prefix_space"] = True
+    encoder = Encoder(json.dumps(described))
+    assert not encoder.sure and decoded(encoder, ["two words", None, ""]) == [encoder.tokenizer.encode("two words").ids, [], []]
+
+
+def lengths_of(blocks):
+    return np.array([len(b) for b in blocks], np.int64)
 
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.one_of(st.integers(0, 65535), st.integers(0, 3)), min_size=1, max_size=60), max_size=8))
 def test_codec_round_trip(blocks):
-    lengths = np.array([len(b) for b in blocks], np.int64)
-    ids = np.array([x for b in blocks for x in b], np.uint32)
-    coded = id_codec.encode(ids, lengths)
-    assert id_codec.decode(coded, lengths).tolist() == ids.tolist()
+    ids, lengths = np.array([x for b in blocks for x in b], np.uint32), lengths_of(blocks)
+    prior = id_codec.Prior(id_codec.levels(ids.astype(np.int64)))
+    coded = id_codec.encode(ids, lengths, prior)
+    assert id_codec.decode(coded, lengths, prior).tolist() == ids.tolist()
     for k, b in enumerate(blocks):  # each block on its own
-        assert id_codec.decode([coded[k]], lengths[k : k + 1]).tolist() == b
+        assert id_codec.decode([coded[k]], lengths[k : k + 1], prior).tolist() == b
 
 
 def test_codec_learns_repeats():
     ids = np.array([7, 30000, 12, 45000] * 2000, np.uint32)
     payload = token_files.pack_payload(ids)
-    assert len(payload) < len(ids) * 0.6 and (token_files.unpack_payload(payload) == ids).all()
+    assert len(payload) < len(ids) * 0.1 and (token_files.unpack_payload(payload) == ids).all()
+
+
+def test_codec_beats_zlib_on_the_same_blocks(texts):
+    library_ids = library(WORDS)
+    ids = np.array([i for t in texts.values() for i in [*library_ids(t), 2]], np.uint32)
+    payload = token_files.pack_payload(ids)
+    raw, size = ids.astype("<u2"), id_codec.BLOCK
+    blocks = sum(len(zlib.compress(raw[a : a + size].tobytes(), 9)) for a in range(0, len(raw), size))
+    assert len(payload) < 0.85 * blocks  # with prior, headers and checksums
+    assert (token_files.unpack_payload(payload) == ids).all()
+
+
+def test_mixing_beats_each_order_alone(texts, monkeypatch):
+    library_ids = library(WORDS)
+    ids = np.array([i for t in list(texts.values())[:120] for i in [*library_ids(t), 2]], np.uint32)
+    mixed = len(token_files.pack_payload(ids))
+    alone = np.zeros_like(id_codec.SETS)
+    monkeypatch.setattr(id_codec, "FIRST", alone)
+    for name in ("INPUT1", "INPUT2"):
+        monkeypatch.setattr(id_codec, name, alone)
+    assert mixed < len(token_files.pack_payload(ids))
 
 
 def test_damage_is_found():
-    payload = bytearray(token_files.pack_payload(np.arange(5000, dtype=np.uint32)))
+    ids = np.arange(5000, dtype=np.uint32)
+    payload = bytearray(token_files.pack_payload(ids))
     payload[-100] ^= 4
     with pytest.raises(token_files.DamagedBlock):
         token_files.unpack_payload(bytes(payload))
+    # Blocks before the damage can still be read, one by one.
+    assert (token_files.read_block(bytes(payload), 0) == ids[: id_codec.BLOCK]).all()
+    payload[25] ^= 4
+    with pytest.raises(token_files.DamagedBlock):
+        token_files.read_block(bytes(payload), 0)
     with pytest.raises(token_files.DamagedBlock):
         token_files.unpack_payload(b"something else")
 
 
+def test_wide_ids_are_refused():
+    with pytest.raises(ValueError, match="65535"):
+        token_files.pack_payload(np.array([70000], np.uint32))
+
+
 def check_files(df, rows):
     got = token_files.token_files(df, WORDS).orderBy("start").collect()
     ids, at = library(WORDS), 0

@@ -50,10 +50,15 @@ def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Bounds what a Python worker holds at once: by rows, and by bytes for long texts."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", rows)
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", 16 << 20)
+#: What a Python worker is handed at once, by rows and by bytes: Spark's default and the bound used here.
+BATCHES = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "500"), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", "16m")}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Sets the bounds of ``BATCHES`` where the session has Spark's defaults; no operator changes them afterwards."""
+    for name, (default, value) in BATCHES.items():
+        if spark.conf.get(name) == default:
+            spark.conf.set(name, value)
 
 
 def free(columns: list[str], name: str) -> str:

@@ -1,106 +1,148 @@
 """Adaptive context-mixing range coder for token ids.
 
-Ids come in blocks that are coded each on its own, with fresh models and a
-checksum. Three predictions are mixed: the id that followed the last two ids
-before (order 2), the id that followed the last one (order 1), and the frequencies
-of the ids so far (order 0, in groups of ids of like size). Each block learns the
-weights of the mixture as it goes, for each state of agreement of the two orders.
-
-Numpy does the work for many blocks side by side, one id of each at a step.
+A segment's ids are cut into blocks that are coded each on its own. What the blocks
+share is the order-0 prior, the frequency of every id in the segment, which is stored
+beside them; all else starts afresh in each block and adapts as it goes.
+
+An id is coded by one or two decisions. The first asks whether it is the id that
+followed the last two ids before (order 2) or the last one (order 1), whichever is
+the more reliable. Its probability is mixed in the logistic domain from the confidence
+of order 2, that of order 1, for or against, and the frequency of the candidate at
+order 0, by weights that the block learns online. An id that isn't the candidate is
+coded by its frequency.
+
+All arithmetic is in integers, so any machine reads what another wrote. Numpy does the
+work for many blocks side by side, one id of each at a step.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 
 import numpy as np
 
-BLOCK = 1024
+BLOCK = 2048
 #: Slots of the tables of followers, for each block.
-SLOTS = 1024
-GROUPS = 32
+SLOTS = 2048
+DROP = np.uint32(32 - 11)
 U = np.uint64
+LOW = U(0xFFFFFFFF)
 #: Ids are given out by 16 bits: the width of an interval is kept at BOTTOM or more,
-#: above the 39 bits that the three divisions of a step can take.
+#: beyond the bits that the two decisions of a step can take.
 TOP, BOTTOM, UNIT = U(1 << 48), U(1 << 42), U(16)
-LIMIT = 4096
-STEP = 24
+#: Bits of a probability, of the order-0 frequencies, and of a weight's fraction.
+CHANCE, SHARE, FRACTION = 12, 18, 14
+#: What a block learns at a step: error times input, shifted down by this.
+RATE = 11
+#: Logits are kept in 256ths, up to 8.
+LOGIT = 2047
+
+
+def _stretch(p: float) -> int:
+    return max(-LOGIT, min(LOGIT, round(256 * math.log(p / (1 - p)))))
+
+
+#: Probability of a logit, from -2048 on.
+SQUASH = np.array([max(1, min((1 << CHANCE) - 1, round((1 << CHANCE) / (1 + math.exp(-z / 256))))) for z in range(-LOGIT - 1, LOGIT + 1)], np.int32)
+#: Logits of a guess that has held 0, 1, ... times in a row; the confidence is one more, 0 being no guess.
+HOLDS = [0, *(_stretch(p) for p in (0.15, 0.4, 0.6, 0.75, 0.85, 0.9, 0.95))]
+N_SETS = 16
+#: Weights of order 2, order 1 and order 0 at the start.
+START = [round(w * (1 << FRACTION)) for w in (0.6, 0.4, 0.3)]
+
+
+def _states() -> tuple[np.ndarray, ...]:
+    """By (confidence 2, confidence 1, agreement): whose candidate, logits of orders 2 and 1, and the set of weights."""
+    first, two_in, one_in, sets = (np.zeros(128, np.int32) for _ in range(4))
+    for state in range(128):
+        two, one, agree = state >> 4, state >> 1 & 7, state & 1
+        first[state] = two >= one
+        two_in[state] = HOLDS[two] if two >= one or agree else -64 * two
+        one_in[state] = HOLDS[one] if one > two or agree else -64 * one
+        sets[state] = (8 if agree else 4 * (two >= one)) + min(max(two, one), 4) - 1 if two or one else 12
+    return first, two_in, one_in, sets
+
+
+FIRST, INPUT2, INPUT1, SETS = _states()
 
 
-def group_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each id its group; for each group its first id and its bits below.
+class Prior:
+    """Order-0 frequencies of a segment: where each id's share of 2 ** SHARE begins, how large it is, and who owns each part."""
 
-    Groups are numbered by an id's bit length and the bit below the highest.
-    """
-    first, bits = [0, 1], [0, 0]
-    for length in range(2, 17):
-        for half in (0, 1):
-            first.append((2 | half) << (length - 2))
-            bits.append(length - 2)
-    group = np.zeros(1 << 16, np.int64)
-    for g, (f, b) in enumerate(zip(first, bits, strict=True)):
-        group[f : f + (1 << b)] = g
-    return group, np.array(first), np.array(bits, np.uint64)
+    def __init__(self, levels: np.ndarray) -> None:
+        """``levels``: for each id 0 if it doesn't occur, else 1 + 8 times the binary logarithm of its count, rounded."""
+        weight = np.where(levels > 0, STEPS[levels], 0)
+        spare = (1 << SHARE) - int((levels > 0).sum())
+        size = np.where(levels > 0, weight * spare // max(1, int(weight.sum())) + 1, 0)
+        if size.any():
+            size[size.argmax()] += (1 << SHARE) - size.sum()
+        #: Both in one number, so that one look-up gives both.
+        self.span = (size.cumsum() - size).astype(np.uint64) << U(32) | size.astype(np.uint64)
+        self.owner = np.repeat(np.arange(len(size), dtype=np.uint16), size)
+        # By id + 1, 0 standing for no candidate.
+        p = np.clip(size / (1 << SHARE), 1e-6, 1 - 1e-6)
+        self.logit = np.concatenate([[0], np.clip(np.round(256 * np.log(p / (1 - p))), -LOGIT, LOGIT)]).astype(np.int32)
 
 
-GROUP, FIRST, BELOW = group_tables()
+#: Weights of the levels: eighths of powers of two.
+STEPS = np.array([round(16 * 2 ** ((q - 1) / 8)) for q in range(256)], np.int64)
 
 
-RANKS = np.arange(GROUPS, dtype=np.int8)[:, None]
+def levels(ids: np.ndarray) -> np.ndarray:
+    """What ``Prior`` is made of, for the ids of a segment."""
+    count = np.bincount(ids, minlength=1 << 16)
+    return np.where(count > 0, 1 + np.round(8 * np.log2(np.maximum(count, 1))), 0).astype(np.uint8)
 
 
 class Models:
-    """The state of all blocks: followers, weights of the mixture and running sums of the groups' frequencies."""
-
-    def __init__(self, n: int) -> None:
-        self.n = n
-        self.lane = np.arange(n, dtype=np.int32)
-        self.one = np.full(n * SLOTS, -1, np.int32)
-        self.two = np.full(n * SLOTS, -1, np.int32)
-        self.weights = np.repeat(np.array([[24], [24], [48]], np.int32), n * 4, axis=1)
-        self.sums = np.repeat(np.arange(GROUPS + 1, dtype=np.int32)[:, None], n, axis=1)
+    """The state of all blocks. Followers are (id + 1) * 8 + confidence, 0 for none."""
+
+    def __init__(self, n: int, prior: Prior) -> None:
+        self.n, self.prior = n, prior
+        self.lane = np.arange(n)
+        self.one = np.zeros(n * SLOTS, np.int32)
+        self.two = np.zeros(n * SLOTS, np.int32)
+        self.weights = [np.full(n * N_SETS, w, np.int32) for w in START]
         self.last = np.zeros(n, np.uint32)
         self.before = np.zeros(n, np.uint32)
 
     def predict(self) -> None:
-        """Sets both guesses and the mixture of their state."""
-        own = self.lane * np.int32(SLOTS)
-        self.at1 = own + ((self.last * np.uint32(0x9E3779B1) >> np.uint32(16)) & np.uint32(SLOTS - 1)).view(np.int32)
-        self.at2 = own + (((self.last * np.uint32(0x85EBCA6B) + self.before * np.uint32(0xC2B2AE35)) >> np.uint32(16)) & np.uint32(SLOTS - 1)).view(np.int32)
-        self.guess1, self.guess2 = self.one.take(self.at1), self.two.take(self.at2)
-        state = (self.guess2 >= 0).view(np.int8) * np.int8(2) + ((self.guess1 >= 0) & (self.guess1 != self.guess2)).view(np.int8)
-        self.state = self.lane * np.int32(4) + state
-        self.mix = self.weights.take(self.state, axis=1)
-
-    def spans(self, group: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The running sum before each lane's group, and the group's frequency."""
-        flat, at = self.sums.reshape(-1), group * self.n + self.lane
-        below = flat.take(at)
-        return below.astype(U), (flat.take(at + self.n) - below).astype(U)
-
-    def learn(self, ids: np.ndarray, event: np.ndarray, group: np.ndarray) -> None:
-        self.weights[event, self.state] += STEP
-        full = np.flatnonzero(self.mix.sum(0) > LIMIT - STEP)
-        if len(full):
-            self.weights[:, self.state[full]] = (self.weights[:, self.state[full]] + 1) >> 1
-        self.sums[1:] += (RANKS >= group.astype(np.int8)).view(np.int8) * np.int32(STEP)
-        full = np.flatnonzero(self.sums[-1] > LIMIT - STEP)
-        if len(full):
-            self.sums[1:, full] = ((np.diff(self.sums[:, full], axis=0) + 1) >> 1).cumsum(0)
-        self.one[self.at1] = ids
-        self.two[self.at2] = ids
-        self.before, self.last = self.last, ids.astype(np.uint32)
+        """Sets the candidate (id + 1, or 0) and its probability, 12 bits."""
+        own = self.lane * SLOTS
+        self.at1 = own + (self.last * np.uint32(0x9E3779B1) >> DROP)
+        self.at2 = own + ((self.last * np.uint32(0x85EBCA6B) + self.before * np.uint32(0xC2B2AE35)) >> DROP)
+        one, two = self.one.take(self.at1, mode="clip"), self.two.take(self.at2, mode="clip")
+        self.id1, self.id2, self.conf1, self.conf2 = one >> 3, two >> 3, one & 7, two & 7
+        state = ((self.conf2 << 4) + (self.conf1 << 1) + (self.id1 == self.id2)).astype(np.intp)
+        self.named = self.id1 + (self.id2 - self.id1) * FIRST.take(state, mode="clip")
+        self.inputs = INPUT2.take(state, mode="clip"), INPUT1.take(state, mode="clip"), self.prior.logit.take(self.named, mode="clip")
+        self.set = self.lane * N_SETS + SETS.take(state, mode="clip")
+        self.mix = [w.take(self.set, mode="clip") for w in self.weights]
+        z = sum(w * x for w, x in zip(self.mix, self.inputs, strict=True)) >> FRACTION
+        self.chance = SQUASH.take(z + (LOGIT + 1), mode="clip")
+        self.chance[self.named == 0] = 1
+
+    def learn(self, ids: np.ndarray, hit: np.ndarray) -> None:
+        error = (hit.astype(np.int32) << CHANCE) - self.chance
+        for weights, mix, x in zip(self.weights, self.mix, self.inputs, strict=True):
+            weights[self.set] = mix + (error * x >> RATE)
+        named = ids + np.int32(1)
+        fresh = named << 3
+        self.one[self.at1] = fresh + np.minimum(self.conf1 * (self.id1 == named) + 1, 7)
+        self.two[self.at2] = fresh + np.minimum(self.conf2 * (self.id2 == named) + 1, 7)
+        self.before, self.last = self.last, ids.view(np.uint32)
 
     def keep(self, n: int) -> None:
         """Goes on with the first ``n`` blocks only; the others have ended."""
         if n < self.n:
             self.n = n
             self.lane = self.lane[:n]
-            self.one, self.two, self.weights = self.one[: n * SLOTS], self.two[: n * SLOTS], np.ascontiguousarray(self.weights[:, : n * 4])
-            self.sums, self.last, self.before = np.ascontiguousarray(self.sums[:, :n]), self.last[:n], self.before[:n]
+            self.one, self.two, self.weights = self.one[: n * SLOTS], self.two[: n * SLOTS], [w[: n * N_SETS] for w in self.weights]
+            self.last, self.before = self.last[:n], self.before[:n]
 
 
-def encode(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
+def encode(ids: np.ndarray, lengths: np.ndarray, prior: Prior) -> list[bytes]:
     """Each block's bytes; ``ids`` holds the blocks of ``lengths`` in a row."""
     n = len(lengths)
     if not n:
@@ -109,29 +151,22 @@ def encode(ids: np.ndarray, lengths: np.ndarray) -> list[bytes]:
     starts = (lengths.cumsum() - lengths)[order]
     sizes = lengths[order]
     low, width = np.zeros(n, U), np.full(n, ~U(0))
-    room = 4 * int(sizes[0]) + 8
+    room = 3 * int(sizes[0]) + 8
     out, used = np.zeros((n, room), np.uint16), np.zeros(n, np.int64)
-    models = Models(n)
+    models = Models(n, prior)
     for t in range(int(sizes[0])):
         m = int(np.searchsorted(-sizes, -t, "left"))
         models.keep(m)
-        x = ids[starts[:m] + t].astype(np.int64)
+        x = ids[starts[:m] + t].astype(np.int32)
         models.predict()
-        event = np.where(models.guess2 == x, 0, np.where(models.guess1 == x, 1, 2))
-        group = GROUP[x]
-        mix = models.mix.astype(U)
-        edge1, edge2 = mix[0], mix[0] + mix[1]
-        part = width[:m] // (edge2 + mix[2])
-        lo = low[:m] + part * np.where(event == 0, U(0), np.where(event == 1, edge1, edge2))
-        w = part * mix[event, models.lane]
-        # Order 0: the group of the id, then its place in the group.
-        below, share = models.spans(group)
-        part = w // models.sums[-1].astype(U)
-        rest = part * share >> BELOW[group]
-        far = event == 2
-        lo += np.where(far, part * below + rest * (x - FIRST[group]).astype(U), U(0))
-        w = np.where(far, rest, w)
-        models.learn(x, event, group)
+        hit = models.named == x + 1
+        w = width[:m]
+        edge = (w >> U(CHANCE)) * models.chance.astype(U)
+        rest = w - edge
+        part = rest >> U(SHARE)
+        span = prior.span.take(x, mode="clip")
+        lo, w = low[:m] + (edge + part * (span >> U(32))) * ~hit, np.where(hit, edge, part * (span & LOW))
+        models.learn(x, hit)
         _shift(lo, w, out, used)
         low[:m], width[:m] = lo, w
     for _ in range(4):
@@ -156,7 +191,7 @@ def _shift(low: np.ndarray, width: np.ndarray, out: np.ndarray, used: np.ndarray
         rows = rows[((a ^ (a + w)) < TOP) | (w < BOTTOM)]
 
 
-def decode(blocks: list[bytes], lengths: np.ndarray) -> np.ndarray:
+def decode(blocks: list[bytes], lengths: np.ndarray, prior: Prior) -> np.ndarray:
     """The ids of the blocks in a row; the reverse of ``encode``."""
     n = len(lengths)
     if not n:
@@ -172,33 +207,23 @@ def decode(blocks: list[bytes], lengths: np.ndarray) -> np.ndarray:
     for k in range(4):
         code = code << UNIT | data[:, k].astype(U)
     used = np.full(n, 4, np.int64)
-    models = Models(n)
+    models = Models(n, prior)
+    last = U((1 << SHARE) - 1)
     for t in range(int(sizes[0])):
         m = int(np.searchsorted(-sizes, -t, "left"))
         models.keep(m)
         models.predict()
-        mix = models.mix.astype(U)
-        c = code[:m]
-        edge1, edge2 = mix[0], mix[0] + mix[1]
-        part = width[:m] // (edge2 + mix[2])
-        ahead = c - low[:m]
-        event = (ahead >= part * edge1).astype(np.int64) + (ahead >= part * edge2)
-        lo = low[:m] + part * np.where(event == 0, U(0), np.where(event == 1, edge1, edge2))
-        w = part * mix[event, models.lane]
+        c, w, lo = code[:m], width[:m], low[:m]
+        edge = (w >> U(CHANCE)) * models.chance.astype(U)
         ahead = c - lo
-        part = w // models.sums[-1].astype(U)
-        passed = (models.sums[1:] <= (ahead // part).astype(np.int32)).view(np.int8)
-        g = np.minimum(np.add.reduce(passed, axis=0, dtype=np.int8), GROUPS - 1).astype(np.int64)
-        below, share = models.spans(g)
-        below *= part
-        rest = part * share >> BELOW[g]
-        place = np.minimum((ahead - below) // rest, (U(1) << BELOW[g]) - U(1))
-        far = event == 2
-        lo += np.where(far, below + rest * place, U(0))
-        w = np.where(far, rest, w)
-        x = np.where(far, FIRST[g] + place.astype(np.int64), np.where(event == 0, models.guess2, models.guess1))
-        x &= 0xFFFF  # a damaged block may hold anything; its checksum tells
-        models.learn(x, event, GROUP[x])
+        hit = ahead < edge
+        part = np.maximum((w - edge) >> U(SHARE), U(1))  # a damaged block may hold anything; its checksum tells
+        place = np.minimum((ahead - edge) // part, last)
+        x = prior.owner.take(place.view(np.int64), mode="clip").astype(np.int32)
+        span = prior.span.take(x, mode="clip")
+        lo, w = lo + (edge + part * (span >> U(32))) * ~hit, np.where(hit, edge, part * (span & LOW))
+        x = np.where(hit, models.named - 1, x)
+        models.learn(x, hit)
         ids[starts[:m] + t] = x
         _refill(lo, w, c, data, used)
         low[:m], width[:m], code[:m] = lo, w, c

@@ -18,9 +18,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width, small_batches, stored
+from .common import bound_batches, shuffle_width, stored
 from .texts import with_columns
-from .token_ids import encoder
+from .token_ids import tokenized, tokenizer_width
 
 BINS = 256
 DIMENSIONS = 4
@@ -115,6 +115,10 @@ class Packer:
         self.open, self.held = [], 0
 
 
+def _curve(ids: list[np.ndarray]) -> dict[str, np.ndarray]:
+    return {"curve": hilbert_keys(cells(vectors(ids)))}
+
+
 def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = 1024) -> DataFrame:
     """Pieces of sequences: doc_id, start, length, ids, doc_tokens, sequence_id, offset.
 
@@ -126,18 +130,12 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = 1024) ->
     are ignored; an empty table gives no rows.
     """
     spark = docs.sparkSession
-    with open(tokenizer_path, encoding="utf-8") as f:
-        definition = spark.sparkContext.broadcast(f.read())  # one vocabulary file, some MB
-
-    def keyed(texts: list) -> dict[str, list]:
-        ids = [np.append(np.frombuffer(b, "<u4"), np.uint32(END_ID)).astype("<u2") for b in encoder(definition.value).encode(texts)]
-        return {"curve": hilbert_keys(cells(vectors(ids))), "ids": [x.tobytes() for x in ids]}
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    tokens = stored(with_columns(rows, keyed, "curve long, ids binary", keep=["doc_id"]), "packing-ids")
+    bound_batches(spark)
+    tokens = stored(tokenized(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), tokenizer_path, END_ID, _curve, "curve long"), "packing-ids")
+    width = tokenizer_width(tokenizer_path)
     order = ["curve", "doc_id", F.crc32("ids")]
     dealt = tokens.repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order).select("doc_id", "ids")
-    small_batches(spark)
+    bound_batches(spark)
     names = ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
 
@@ -148,7 +146,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = 1024) ->
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
 
         for batch in batches:
-            found = [p for d, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True) for p in packer.add(d, np.frombuffer(raw, "<u2"))]
+            found = [p for d, raw in zip(batch.column("doc_id").to_pylist(), batch.column("ids").to_pylist(), strict=True) for p in packer.add(d, np.frombuffer(raw, width))]
             if found:
                 yield made(found)
         if found := list(packer.end()):

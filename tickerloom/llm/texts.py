@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import small_batches
+from .common import bound_batches
 
 
 def with_columns(df: DataFrame, fn: Callable[[list], dict[str, Sequence]], fields: str, column: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
@@ -17,7 +17,7 @@ def with_columns(df: DataFrame, fn: Callable[[list], dict[str, Sequence]], field
 
     ``fields`` is the DDL of the new columns; the names in ``keep`` must differ from them.
     """
-    small_batches(df.sparkSession)
+    bound_batches(df.sparkSession)
     keep = list(df.columns if keep is None else keep)
     new = T.StructType.fromDDL(fields)
     schema = T.StructType([df.schema[n] for n in keep] + new.fields)
@@ -36,7 +36,7 @@ def with_columns(df: DataFrame, fn: Callable[[list], dict[str, Sequence]], field
 
 def made_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, Sequence]], fields: str) -> DataFrame:
     """Any number of rows of ``fields`` (DDL) from each batch of ``df``, given as lists by column."""
-    small_batches(df.sparkSession)
+    bound_batches(df.sparkSession)
     schema = T.StructType.fromDDL(fields)
     kinds = to_arrow_schema(schema)
 
