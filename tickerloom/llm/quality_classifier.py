@@ -1,10 +1,10 @@
 """Supervised subword embeddings that score the quality of documents.
 
-Every word and every character n-gram (3 to 5 bytes) is hashed to a learned
-vector; so is each word trigram, by whether the text held it before. A document
-is the mean of its vectors, by kind and then over the kinds, and a softmax over
-two classes reads it. Numpy stochastic gradient descent learns the vectors and the
-softmax from a bounded sample of labelled documents.
+Every word, every pair of neighbouring words and every character n-gram (3 to 5
+bytes) is hashed to a learned vector. A document is the mean of its vectors, by kind
+and then over the kinds, and a softmax over two classes reads it. Numpy stochastic
+gradient descent learns the vectors and the softmax from a bounded sample of labelled
+documents.
 
 Scoring is linear in the vectors, so each vector is folded with the softmax into
 one number beforehand, and a text costs a table look-up for each feature.
@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder
+from .common import id_remainder, stored
 from .texts import with_columns
 
 GRAMS = (3, 4, 5)
@@ -47,11 +47,10 @@ class Hashed:
     grams: list[tuple[np.ndarray, np.ndarray]]  # for each n: bucket of each position, its dead positions
     words: np.ndarray
     word_doc: np.ndarray
+    pairs: np.ndarray
+    pair_doc: np.ndarray
     starts: np.ndarray
     lengths: np.ndarray
-    n_words: np.ndarray
-    n_trigrams: np.ndarray
-    n_again: np.ndarray
 
 
 def hashed(raws: list[bytes], bits: int) -> Hashed:
@@ -78,17 +77,15 @@ def hashed(raws: list[bytes], bits: int) -> Hashed:
     word ^= word >> np.uint64(29)
     word *= np.uint64(0xBF58476D1CE4E5B9)
     doc = np.searchsorted(starts, first, "right") - 1
-    whole = doc[2:] == doc[:-2]
-    tri = (word[:-2] * np.uint64(3) + word[1:-1] * np.uint64(0x94D049BB133111EB) + (word[2:] ^ (word[2:] >> np.uint64(17))) * PRIME + doc[2:].astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))[whole]
-    tri_doc = doc[2:][whole]
-    n_trigrams = np.bincount(tri_doc, minlength=len(raws))
-    distinct = np.bincount(tri_doc[np.unique(tri, return_index=True)[1]], minlength=len(raws))
-    return Hashed(grams, (word >> np.uint64(64 - bits)).astype(np.int64), doc, starts, lengths, np.bincount(doc, minlength=len(raws)), n_trigrams, n_trigrams - distinct)
+    beside = doc[1:] == doc[:-1]
+    pair = (word[:-1] * np.uint64(3) + (word[1:] ^ (word[1:] >> np.uint64(17))) * np.uint64(0x94D049BB133111EB))[beside]
+    shift = np.uint64(64 - bits)
+    return Hashed(grams, (word >> shift).astype(np.int64), doc, (pair >> shift).astype(np.int64), doc[1:][beside], starts, lengths)
 
 
 @dataclass
 class Model:
-    """``table``: log odds of each bucket of grams, then of words, then of a new and a repeated trigram."""
+    """``table``: log odds of each bucket of grams, then of words, then of pairs of words."""
 
     table: np.ndarray
     bias: float
@@ -117,11 +114,11 @@ class Model:
             values[dead] = 0
             total += np.add.reduceat(values, x.starts, dtype=np.float64)
             count += np.maximum(x.lengths - n + 1, 0)
-        words = np.bincount(x.word_doc, self.table[size + x.words].astype(np.float64), len(raws))
-        new, again = float(self.table[-2]), float(self.table[-1])
-        share = x.n_again / np.maximum(x.n_trigrams, 1)
-        trigrams = np.where(x.n_trigrams > 0, new * (1 - share) + again * share, 0.0)
-        return (total / np.maximum(count, 1) + words / np.maximum(x.n_words, 1) + trigrams) / 3
+        out = total / np.maximum(count, 1)
+        for part, where, doc in ((1, x.words, x.word_doc), (2, x.pairs, x.pair_doc)):
+            sums = np.bincount(doc, self.table[part * size + where].astype(np.float64), len(raws))
+            out += sums / np.maximum(np.bincount(doc, minlength=len(raws)), 1)
+        return out / 3
 
 
 def sparse(raw: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -130,19 +127,16 @@ def sparse(raw: bytes, bits: int) -> tuple[np.ndarray, np.ndarray]:
         return np.zeros(0, np.int32), np.zeros(0, np.float32)
     x, size = hashed([raw], bits), 1 << bits
     grams = np.concatenate([np.delete(b, dead) for b, dead in x.grams])
-    g, gn = np.unique(grams, return_counts=True)
-    w, wn = np.unique(x.words, return_counts=True)
-    again = x.n_again[0] / max(1, x.n_trigrams[0])
-    three = np.array([1 - again, again]) * (x.n_trigrams[0] > 0)
-    where = np.concatenate([g.astype(np.int32), (size + w).astype(np.int32), np.array([2 * size, 2 * size + 1], np.int32)])
-    return where, (np.concatenate([gn / max(1, gn.sum()), wn / max(1, wn.sum()), three]) / 3).astype(np.float32)
+    kinds = [np.unique(part, return_counts=True) for part in (grams, x.words, x.pairs)]
+    where = np.concatenate([k * size + found for k, (found, _) in enumerate(kinds)]).astype(np.int32)
+    return where, (np.concatenate([n / max(1, n.sum()) for _, n in kinds]) / 3).astype(np.float32)
 
 
-def fit(texts: list[bytes], labels: list[int], bits: int = 17, dim: int = 8, epochs: int = 12, rate: float = 0.5, vector_rate: float = 1.5, seed: int = 7) -> Model:
+def fit(texts: list[bytes], labels: list[int], bits: int = 17, dim: int = 8, epochs: int = 8, rate: float = 0.5, vector_rate: float = 6.0, seed: int = 7) -> Model:
     """Numpy SGD; without two classes the model is the smoothed share of label 1."""
     y = np.array(labels, dtype=np.int64)
     share = (y.sum() + 1) / (len(y) + 2)
-    size = 2 * (1 << bits) + 2
+    size = 3 * (1 << bits)
     if len(set(labels)) < 2:
         return Model(np.zeros(size, np.float32), float(np.log(share / (1 - share))), bits)
     rng = np.random.default_rng(seed)
@@ -185,21 +179,21 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int
     picked = [tuple(r) for r in known.collect()]
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
-    def of(rows: list[tuple]) -> DataFrame:
-        return text.join(F.broadcast(spark.createDataFrame(rows, "doc_id long, label int")), "doc_id")
-
-    sizes = dict(tuple(r) for r in of(picked).groupBy("doc_id").agg(F.max(F.octet_length("text"))).collect())
-    chosen, held = [], 0
-    for doc_id, value in picked:
+    chosen = F.broadcast(spark.createDataFrame(picked, "doc_id long, label int"))  # at most max_docs rows
+    found = stored(text.join(chosen, "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label")), "training")
+    sizes = dict(tuple(r) for r in found.select("doc_id", F.octet_length("text")).collect())
+    fitting, held = [], 0
+    for doc_id, _ in picked:
         if doc_id in sizes and held + sizes[doc_id] <= max_bytes:
             held += sizes[doc_id]
-            chosen.append((doc_id, value))
-    rows = of(chosen).groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label")).orderBy("doc_id").collect()
+            fitting.append(doc_id)
+    rows = found.where(F.col("doc_id").isin(fitting)).orderBy("doc_id").collect()
     return fit([r["text"].encode() for r in rows], [r["label"] for r in rows])
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:
-    """Adds the probability of label 1 to each row; the other columns stay."""
+    """Adds the probability of label 1 to each row; the other columns stay, but one of the same name is replaced."""
+    docs = docs.select(*(f"`{n}`" for n in docs.columns if n.lower() != column.lower()))
 
     def scored(texts: list) -> dict:
         odds = model.log_odds([(t or "").encode("utf-8", "surrogatepass") for t in texts])
