@@ -57,3 +57,42 @@ def test_odd_rows(odd, none):
     assert L.identify_languages(none).collect() == []
     untaught = L.identify_languages(odd.withColumn("lang", odd["lang"].substr(9, 1)).where("lang IS NULL"))
     assert {r["lang_pred"] for r in untaught.collect()} == {"und"}
+
+
+def test_no_language_is_left_out(spark):
+    rows = [(k, f"{chr(0x4E00 + k % 250) * 40} {k % 250}", f"l{k % 250}") for k in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    taught = {lang for k, _, lang in rows if zlib.crc32(str(k).encode()) % 4 != 2}
+    seen = []
+    fit = L.fit
+    try:
+        L.fit = lambda windows, languages, **kw: seen.append(languages)
+        L.train(docs, each=1)
+        L.train(docs, each=1, max_docs=len(taught))
+    finally:
+        L.fit = fit
+    assert set(seen[0]) == set(seen[1]) == taught and len(taught) > 200
+    assert len(seen[1]) == len(taught)
+
+
+def test_query_equals_plain_forward(documents, texts):
+    """Every document's prediction by a position at a time reading, in float64."""
+    net = L.train(documents)
+    found = {r["doc_id"]: r for r in L.identify(documents.select("doc_id", "text"), net).collect()}
+    for d, t in list(texts.items())[:25]:
+        raw, total = t.encode(), np.zeros(len(net.languages))
+        for a in range(0, len(raw), L.WINDOW):
+            part = raw[a : a + L.WINDOW]
+            x = np.frombuffer(part.ljust(L.WINDOW, b"\0"), np.uint8)[:, None]
+            one, two = (L._forward(s, net.inputs[i], net.memory[i])["state"] for i, s in enumerate((x, x[::-1])))
+            p = np.exp(np.concatenate([one, two[::-1]], 2) @ net.out.T + net.bias)
+            total += (p / p.sum(2, keepdims=True))[: len(part), 0].sum(0)
+        total /= max(len(raw), 1)
+        if any(map(str.isalpha, t)):
+            assert abs(found[d]["score"] - total.max()) < 1e-3 and (found[d]["lang_pred"] == net.languages[total.argmax()] or np.sort(total)[-2] > total.max() - 1e-3)
+
+
+def test_clashing_columns_are_replaced(odd):
+    out = L.identify(odd.withColumn("lang_pred", odd["source"]), None)
+    assert out.columns.count("score") == out.columns.count("lang_pred") == 1
+    assert {r["lang_pred"] for r in out.collect()} == {"und"}

@@ -167,18 +167,19 @@ def _windows(texts: list, each: int) -> dict[str, list]:
     return {"windows": out}
 
 
-def train(docs: DataFrame, fold: int = 4, held: int = 2, per_language: int = 150, each: int = 4, max_languages: int = 200) -> Network | None:
+def train(docs: DataFrame, fold: int = 4, held: int = 2, per_language: int = 150, each: int = 4, max_docs: int = 6000) -> Network | None:
     """Learns from documents with a language whose crc32(doc_id as text) mod ``fold`` isn't ``held``.
 
-    The sample is bounded: the ``max_languages`` most frequent values,
-    ``per_language`` documents of each in the order of a hash of the id, ``each``
-    windows a document.
+    The sample is bounded: at most ``per_language`` documents of each language in the
+    order of a hash of the id, ``max_docs`` in all, ``each`` windows a document. Every
+    language gives its first document before any gives its second, so many languages
+    mean fewer documents of each, and none is left out up to ``max_docs`` of them.
     """
     open_rows = docs.where((id_remainder(fold) != held) & F.col("lang").isNotNull())
     ids = open_rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang")
-    top = ids.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages).select("lang")
     rank = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    picked = ids.join(F.broadcast(top), "lang").withColumn("rank", rank).where(F.col("rank") <= per_language).select("doc_id", "lang").distinct()
+    ranked = ids.withColumn("rank", rank).where(F.col("rank") <= per_language)
+    picked = ranked.orderBy("rank", "lang").limit(max_docs).select("doc_id", "lang").distinct()
     rows = [tuple(r) for r in picked.collect()]
     chosen = docs.sparkSession.createDataFrame(rows, "doc_id long, lang string")
     texts = open_rows.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"], "left_semi")
@@ -189,7 +190,8 @@ def train(docs: DataFrame, fold: int = 4, held: int = 2, per_language: int = 150
 
 
 def identify(rows: DataFrame, net: Network | None) -> DataFrame:
-    """Adds lang_pred and score to each row; the other columns stay."""
+    """Adds lang_pred and score to each row; the other columns stay, but those of the same names are replaced."""
+    rows = rows.select(*(f"`{n}`" for n in rows.columns if n.lower() not in ("lang_pred", "score")))
 
     def predict(texts: list) -> dict[str, list]:
         names = ["und"] * len(texts)
