@@ -125,14 +125,38 @@ def test_search_of_sparse_chains():
 
 def test_every_close_pair_shares_a_table():
     rng = random.Random(2)
-    masks = [m & (2**64 - 1) for m in S.masks()]
-    assert len(masks) == 15
-    for _ in range(2000):
-        a = rng.getrandbits(64)
-        b = a
-        for bit in rng.sample(range(64), 4):
-            b ^= 1 << bit
-        assert any(a & m == b & m for m in masks)
+    for blocks, tables in zip(S.BLOCKS, (15, 35, 70, 126), strict=True):
+        masks = [m & (2**64 - 1) for m in S.masks(blocks)]
+        assert len(masks) == tables and sum(S.widths(blocks)) == 64
+        for _ in range(500):
+            a = rng.getrandbits(64)
+            b = a
+            for bit in rng.sample(range(64), 4):
+                b ^= 1 << bit
+            assert any(a & m == b & m for m in masks)
+    assert [S.blocks_for(n) for n in (0, 1 << 26, 1 << 29, 1 << 35, 1 << 60)] == [6, 6, 7, 8, 9]
+
+
+def edges_of(spark, prints, **kw):
+    nodes = spark.createDataFrame([(int(np.uint64(p).astype(np.int64)), i) for i, p in enumerate(prints)], "print long, node long")
+    low, high = zip(*[(r["low"], r["high"]) for r in S.links(nodes, **kw).collect()], strict=True)
+    low, high = S.stars(np.array(low), np.array(high), np.arange(len(prints)))
+    found = dict(zip(high, low, strict=True))
+    return [found.get(i, i) for i in range(len(prints))]
+
+
+def test_crowded_keys_are_dealt_again(spark, monkeypatch):
+    rng = random.Random(11)
+    shared = rng.getrandbits(64)
+    near = {shared ^ sum(1 << b for b in rng.sample(range(30), rng.randint(0, 12))) for _ in range(300)}  # many share keys
+    prints = np.array(sorted(near | {rng.getrandbits(64) for _ in range(100)}), np.uint64)
+    want = linked_sets(prints)
+    assert edges_of(spark, prints) == want
+    assert edges_of(spark, prints, crowded=40) == want
+    monkeypatch.setattr(S, "GATHERED", 30)
+    assert edges_of(spark, prints, crowded=10_000) == want
+    monkeypatch.setattr(S, "PER_KEY", 0)  # the longest keys at once
+    assert edges_of(spark, prints) == want
 
 
 def test_large_group_through_spark(spark, monkeypatch):
@@ -164,3 +188,33 @@ def test_odd_rows(odd, none):
     assert S.near_duplicates(none).collect() == []
     kept = S.keep_first(odd)
     assert kept.columns == odd.columns and sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == [1, 4, 5, 7, 8, 9]
+
+
+def test_hot_keys_are_joined_by_broadcast(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from tickerloom.llm import common
+
+    left = spark.createDataFrame([(i % 7 if i % 3 else 0, i) for i in range(300)], "k int, v int")
+    right = left.groupBy("k").agg(F.count("*").alias("n")).withColumn("w", F.col("k") * 10)
+    want = sorted(map(tuple, left.join(right, "k").select("k", "v", "w").collect()))
+    for hot in (0, 60, 1000):
+        monkeypatch.setattr(common, "HOT_ROWS", hot)
+        assert sorted(map(tuple, common.join_hot(left, right, "k", "n", 300).select("k", "v", "w").collect())) == want
+
+
+def test_components_with_a_hot_centre(spark, monkeypatch):
+    from tickerloom.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", 5)
+    edges = [(1, k) for k in range(2, 60)] + [(59, 70), (70, 71), (100, 101)]
+    got = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: 1 for k in [*range(1, 60), 70, 71]} | {100: 100, 101: 100}
+
+
+def test_row_that_stays_doesnt_depend_on_the_order(spark):
+    rows = [(1, f"text number {k} of one document id", "en", f"s{k}", k) for k in range(20)]
+    fields = "doc_id long, text string, lang string, source string, n_chars long"
+    one = S.keep_first(spark.createDataFrame(rows, fields).repartition(1)).collect()
+    other = S.keep_first(spark.createDataFrame(rows[::-1], fields).repartition(5)).collect()
+    assert len(one) == 1 and one == other

@@ -61,6 +61,28 @@ def bound_batches(spark: SparkSession) -> None:
             spark.conf.set(name, value)
 
 
+#: A key is hot if it has this many rows and more than one in ``HOT_KEYS`` of all rows, so there are at most HOT_KEYS such keys.
+HOT_ROWS = 1000
+HOT_KEYS = 10_000
+
+
+def hot_from(rows: int) -> int:
+    return max(HOT_ROWS, rows // HOT_KEYS)
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, size: str, rows: int) -> DataFrame:
+    """Inner join with ``right``, which has each key once and in ``size`` the rows of ``left`` under it.
+
+    Rows of hot keys stay where they are and get the matches, at most ``HOT_KEYS`` rows,
+    by broadcast; the others are shuffled, at most ``hot_from(rows)`` of them to a key.
+    ``rows`` counts the rows of ``left``, which is read twice. ``size`` isn't kept.
+    """
+    limit = hot_from(rows)
+    hot, cold = right.where(F.col(size) > limit).drop(size), right.where(F.col(size) <= limit).drop(size)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return left.join(F.broadcast(hot), key).unionByName(rest.join(cold, key))
+
+
 def free(columns: list[str], name: str) -> str:
     """``name``, lengthened until no column has it."""
     taken = {c.lower() for c in columns}

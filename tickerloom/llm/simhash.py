@@ -2,7 +2,10 @@
 
 Two fingerprints within ``RADIUS`` bits agree on at least two of six blocks of
 bits, so each distinct fingerprint is sent to 15 tables by the 15 pairs of blocks
-(about 21 bits a key) and compared only with those that share a key. Comparison is
+(about 21 bits a key) and compared only with those that share a key. With more
+fingerprints there are more blocks and longer keys: three of seven, four of eight or
+five of nine (27, 32 and 35 bits). A key that is crowded all the same isn't compared
+but dealt again by the next longer keys, which find the same links. Comparison is
 bit-sliced: fingerprints stand upright in 64 bit planes, 64 of them to a machine
 word, and carry-save counters of bitwise operations add up 64 distances at a time;
 words of which every lane is beyond the radius are abandoned.
@@ -22,12 +25,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, shuffle_width, stored
+from .common import WORD, join_hot, shuffle_width, stored
 from .components import components
 from .texts import with_columns
 
 RADIUS = 4
-BLOCKS = (11, 11, 11, 11, 10, 10)
+#: Numbers of blocks; all but RADIUS of them make a key.
+BLOCKS = (6, 7, 8, 9)
+#: Fingerprints to a key, on average, beyond which keys are longer.
+PER_KEY = 64
+#: Fingerprints of one key beyond which it is dealt again by longer keys.
+CROWDED = 20_000
+#: Rows that a worker gathers before it compares the whole keys among them.
+GATHERED = 200_000
 #: Keys with at most this many fingerprints are compared by shifting the planes.
 SHIFTED = 32
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -45,11 +55,23 @@ def fingerprint(text: str | None, width: int = 4) -> int:
     return int(np.packbits(majority, bitorder="little").view("<i8")[0])
 
 
-def masks() -> list[int]:
-    """The bits of each pair of blocks, as signed 64-bit numbers."""
-    at = np.cumsum((0, *BLOCKS)).tolist()
-    one = [((1 << w) - 1) << a for w, a in zip(BLOCKS, at, strict=False)]
-    return [int(np.uint64(a | b).astype(np.int64)) for a, b in itertools.combinations(one, 2)]
+def widths(blocks: int) -> list[int]:
+    """Bits of each block, as equal as can be, the larger first."""
+    return [64 // blocks + (k < 64 % blocks) for k in range(blocks)]
+
+
+def masks(blocks: int = BLOCKS[0]) -> list[int]:
+    """The bits of each choice of all but RADIUS blocks, as signed 64-bit numbers."""
+    one, at = [], 0
+    for w in widths(blocks):
+        one.append(((1 << w) - 1) << at)
+        at += w
+    return [int(np.uint64(sum(chosen)).astype(np.int64)) for chosen in itertools.combinations(one, blocks - RADIUS)]
+
+
+def blocks_for(fingerprints: int) -> int:
+    """The fewest blocks whose keys hold ``PER_KEY`` fingerprints or fewer on average."""
+    return next((b for b in BLOCKS if fingerprints <= PER_KEY << sum(widths(b)[RADIUS:])), BLOCKS[-1])
 
 
 def planes(prints: np.ndarray) -> np.ndarray:
@@ -209,14 +231,9 @@ def stars(a: np.ndarray, b: np.ndarray, node: np.ndarray) -> tuple[list[int], li
     return [r for r, x in pairs if r != x], [x for r, x in pairs if r != x]
 
 
-def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    t = np.concatenate([b.column("t").to_numpy(zero_copy_only=False) for b in held])
-    prints = np.concatenate([b.column("print").to_numpy(zero_copy_only=False) for b in held])
-    node = np.concatenate([b.column("node").to_numpy(zero_copy_only=False) for b in held])
-    key = prints & np.array(masks(), dtype=np.int64)[t]
+def _group_edges(t: np.ndarray, prints: np.ndarray, node: np.ndarray, mask: np.ndarray, crowded: int | None) -> pa.RecordBatch:
+    """Edges within whole keys; of a crowded key its nodes instead, each with no ``high``."""
+    key = prints & mask[t]
     order = np.lexsort((prints, key, t))
     t, prints, node, key = t[order], prints[order].view(np.uint64), node[order], key[order]
     new = np.ones(len(t), bool)
@@ -226,13 +243,60 @@ def _bucket_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     small = np.repeat((sizes > 1) & (sizes <= SHIFTED), sizes)
     where = np.flatnonzero(small)
     a, b = shifted_links(prints[where], sizes[(sizes > 1) & (sizes <= SHIFTED)])
-    pairs = [(where[a], where[b])]
+    pairs, put_off = [(where[a], where[b])], [np.zeros(0, np.int64)]
     for k in np.flatnonzero(sizes > SHIFTED):
         s = slice(starts[k], starts[k] + sizes[k])
+        if crowded is not None and sizes[k] > crowded:
+            put_off.append(node[s])
+            continue
         a, b = searched_links(prints[s])
         pairs.append((a + starts[k], b + starts[k]))
     low, high = stars(np.concatenate([p for p, _ in pairs]), np.concatenate([p for _, p in pairs]), node)
-    yield pa.RecordBatch.from_arrays([pa.array(low, pa.int64()), pa.array(high, pa.int64())], names=["low", "high"])
+    off = np.concatenate(put_off)
+    return pa.RecordBatch.from_arrays([pa.array(np.append(np.array(low, np.int64), off)), pa.array([*high, *[None] * len(off)], pa.int64())], names=["low", "high"])
+
+
+def _bucket_edges(blocks: int, crowded: int | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Edges of a partition whose rows come sorted by table and key; holds one key, or GATHERED rows, at a time."""
+    mask = np.array(masks(blocks), dtype=np.int64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        count = 0
+        for batch in batches:
+            held.append(np.stack([batch.column(n).to_numpy(zero_copy_only=False).astype(np.int64) for n in ("t", "print", "node")]))
+            count += batch.num_rows
+            if count < GATHERED:
+                continue
+            rows = np.concatenate(held, axis=1)
+            key = rows[1] & mask[rows[0]]
+            same = (key == key[-1]) & (rows[0] == rows[0, -1])
+            if not same.all():
+                cut = int(np.flatnonzero(~same)[-1]) + 1  # the last key may go on
+                yield _group_edges(*rows[:, :cut], mask, crowded)
+                rows = rows[:, cut:]
+            held, count = [rows], 0  # a key that goes on isn't looked at again before as many more rows
+        if held and sum(x.shape[1] for x in held):
+            yield _group_edges(*np.concatenate(held, axis=1), mask, crowded)
+
+    return run
+
+
+def links(nodes: DataFrame, crowded: int = CROWDED) -> DataFrame:
+    """(low, high): edges that connect all ``nodes`` (print, node) whose prints are linked."""
+    spark = nodes.sparkSession
+    found, blocks = None, blocks_for(nodes.count())
+    while True:
+        last = blocks == BLOCKS[-1]
+        mask = F.explode(F.array(*(F.struct(F.lit(i).cast("int").alias("t"), F.lit(m).alias("mask")) for i, m in enumerate(masks(blocks)))))
+        sent = nodes.select("print", "node", mask.alias("m")).select(F.col("m.t").alias("t"), "print", "node", F.col("print").bitwiseAND(F.col("m.mask")).alias("key"))
+        dealt = sent.repartition(shuffle_width(spark), "t", "key").sortWithinPartitions("t", "key").select("t", "print", "node")
+        edges = stored(dealt.mapInArrow(_bucket_edges(blocks, None if last else crowded), "low long, high long"), "edges")
+        found = edges.where("high IS NOT NULL") if found is None else found.union(edges.where("high IS NOT NULL"))
+        crowd = edges.where("high IS NULL").select(F.col("low").alias("node")).distinct()
+        if last or crowd.isEmpty():
+            return found
+        nodes, blocks = stored(nodes.join(crowd, "node"), "crowded"), blocks + 1
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
@@ -249,27 +313,26 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     null doc_id links nothing: its row gets the component that its fingerprint has
     without it, or null. Equal rows give equal rows; other columns are ignored.
     """
-    spark = docs.sparkSession
     prints = stored(fingerprints(docs), "prints")
-    nodes = stored(prints.where("doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("node")), "nodes")
-    mask = F.explode(F.array(*(F.struct(F.lit(i).cast("int").alias("t"), F.lit(m).alias("mask")) for i, m in enumerate(masks()))))
-    sent = nodes.select("print", "node", mask.alias("m")).select(F.col("m.t").alias("t"), "print", "node", F.col("print").bitwiseAND(F.col("m.mask")).alias("key"))
-    dealt = sent.repartition(shuffle_width(spark), "t", "key").select("t", "print", "node")
-    edges = dealt.mapInArrow(_bucket_edges, "low long, high long")
+    nodes = stored(prints.groupBy("print").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("n")), "nodes")
+    rows = nodes.agg(F.sum("n")).first()[0] or 0
+    edges = links(nodes.where("node IS NOT NULL").select("print", "node"))
     # A doc_id with several fingerprints ties these together.
     several = prints.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("print").alias("a"), F.max("print").alias("b")).where("a <> b").select("doc_id")
-    seen = prints.join(several, "doc_id").join(nodes, "print").select("doc_id", "node").distinct()
+    seen = prints.join(several, "doc_id").distinct().join(nodes, "print").select("doc_id", "node").distinct()
     ties = seen.join(seen.groupBy("doc_id").agg(F.min("node").alias("low")), "doc_id").where("low <> node").select("low", F.col("node").alias("high"))
     found = components(edges.union(ties))
-    named = nodes.join(found, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"))
-    return prints.join(named, "print", "left").select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
+    named = nodes.join(found, "node", "left").select("print", F.coalesce("component", "node").alias("component_id"), "n")
+    return join_hot(prints, named, "print", "n", rows).select("doc_id", F.lpad(F.lower(F.hex("print")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """All columns of the first document of each group of near duplicates.
 
-    Of rows that share a doc_id one stays. Rows with a null doc_id all stay.
+    Of rows that share a doc_id that with the smallest hash of all its columns stays.
+    Rows with a null doc_id all stay.
     """
     first = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(first, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id IS NULL"))
+    kept = docs.join(first, "doc_id", "left_semi").select(docs.columns)
+    row = F.struct(F.xxhash64(*(F.col(f"`{n}`") for n in docs.columns)).alias("hash"), F.struct(*(F.col(f"`{n}`") for n in docs.columns)).alias("row"))
+    return kept.groupBy("doc_id").agg(F.min(row).alias("least")).select("least.row.*").union(docs.where("doc_id IS NULL"))
