@@ -4,6 +4,7 @@ from collections import defaultdict
 from hypothesis import given
 from hypothesis import strategies as st
 
+from tickerloom.llm import common
 from tickerloom.llm import line_dedup as D
 
 WORDS = st.lists(st.sampled_from(["a", "b", "c"]), min_size=0, max_size=9)
@@ -62,7 +63,9 @@ def test_random_lines(spark, monkeypatch):
     rng = random.Random(4)
     docs = {i: "\n".join(" ".join(rng.choice("abc") for _ in range(rng.choice([0, 1, 3, 5, 6, 6, 7, 12]))) for _ in range(6)) for i in range(60)}
     check(spark, docs)
-    monkeypatch.setattr(D, "BROADCAST_LINES", -1)
+    monkeypatch.setattr(D, "BROADCAST_BYTES", -1)
+    monkeypatch.setattr(D, "SPREAD_WORDS", 40)
+    monkeypatch.setattr(common, "HOT_ROWS", 3)
     check(spark, docs)
 
 
@@ -74,6 +77,18 @@ def test_one_hot_variant(spark):
     check(spark, {i: f"page {i} of the same long report\n\n  PAGE  {i} of the same long report x y" for i in range(150)})
 
 
+def test_a_variant_of_ten_thousand_lines(spark, monkeypatch):
+    """All lines but the first of each template go, and little of the hot variant is shuffled."""
+    docs = {i: f"notice number {i} about the same old thing\nother {i} words that no line {i} else has {i} at all {i}" for i in range(10_000)}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string")
+    rows = {r["doc_id"]: r["text"] for r in D.dedup_lines(df).collect()}
+    assert rows[0] == docs[0] and all(t == docs[i].split("\n")[1] for i, t in rows.items() if i)
+    lines = [t.split("\n")[0].encode().split(b" ") for t in docs.values()]
+    variant, deleted, cid, near = D.spread(list(docs), lines)
+    assert near.tolist() == list(range(1, 10_000))
+    assert ((deleted == 2) & (variant == variant[(deleted == 2) & (cid == 0)])).sum() == 1
+
+
 def test_odd_rows(odd, none):
     out = D.dedup_lines(odd)
     rows = out.collect()

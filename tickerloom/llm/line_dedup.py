@@ -6,6 +6,12 @@ in or left out), each line is spread to all its variants with one word deleted;
 two lines within that edit share a variant, so equal variants are joined, the edit
 distance of what meets is verified, and the earliest line stays.
 
+A template with one changing word gives a variant to as many lines as there are. What
+a worker spreads at once is therefore compared there first: of lines that share a
+variant by the same deleted place only the earliest goes on under it, the others have
+found their partner. Lines and halves that a large share of all rows have are joined
+by broadcast, which is bounded as there can't be many of them.
+
 Lines that can't have a partner are left out of the spreading: of two lines within
 one word edit, one has the other's first or last half. Only lines that share such a
 half with a different line go on; the text of the others isn't read again.
@@ -13,19 +19,24 @@ half with a different line go on; the text of the others isn't read again.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, free, stored
+from .common import WORD, bound_batches, free, join_hot, stored
 from .texts import made_rows, with_columns
 
 #: Lines of fewer words are only matched exactly: one edit in five words is a similarity of 0.8.
 MIN_WORDS = 5
-#: Up to this many lines are sent to the documents; beyond it both sides are shuffled.
-BROADCAST_LINES = 1_000_000
+#: Places of candidate lines are sent to the documents up to this size, at about 64 bytes each; beyond it the lines are shuffled.
+BROADCAST_BYTES = 64 << 20
+#: Words of the lines that a worker spreads at once.
+SPREAD_WORDS = 400_000
 BASE = 0x9E3779B97F4A7C15
 INVERSE = np.uint64(pow(BASE, -1, 1 << 64))
 
@@ -96,14 +107,64 @@ def _fetched(batch: dict[str, list]) -> dict[str, list]:
     return out
 
 
-def _spread(batch: dict[str, list]) -> dict[str, list]:
-    made = [variants(w.split(b" ")) for w in batch["words"]]
-    sizes = [len(m) for m in made]
-    return {
-        "variant": np.concatenate(made),
-        "deleted": np.concatenate([np.arange(-1, n - 1) for n in sizes]),
-        "cid": np.repeat(np.array(batch["cid"], np.int64), sizes),
-    }
+def _worded(batch: dict[str, list]) -> dict[str, list]:
+    out: dict[str, list] = {"doc_id": [], "line_no": [], "line": [], "words": []}
+    for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
+        for k, words in enumerate(lines_of(text)):
+            if len(words) >= MIN_WORDS:
+                for name, value in zip(out, (doc_id, k, digest(words), b" ".join(words)), strict=True):
+                    out[name].append(value)
+    return out
+
+
+def spread(cids: list[int], lines: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(variant, deleted, cid) that go on, and the cids that have an earlier line within one edit among ``lines``.
+
+    ``deleted`` is the place of the missing word, -1 for the line itself. Where several
+    lines share a variant by the same place, only the earliest goes on under it.
+    """
+    made = [variants(w) for w in lines]
+    sizes = np.array([len(m) for m in made], np.int64)
+    variant, of = np.concatenate(made), np.repeat(np.arange(len(lines)), sizes)
+    deleted = np.arange(len(variant)) - np.repeat(sizes.cumsum() - sizes, sizes) - 1
+    cid = np.array(cids, np.int64)[of]
+    order = np.lexsort((cid, deleted, variant))
+    first = np.ones(len(order), bool)
+    first[1:] = (variant[order][1:] != variant[order][:-1]) | (deleted[order][1:] != deleted[order][:-1])
+    lead = order[np.flatnonzero(first)[first.cumsum() - 1]]
+    on, near = first.copy(), []
+    for k in np.flatnonzero(~first & (deleted[order] >= 0)).tolist():
+        if within_one_edit(lines[of[order[k]]], lines[of[lead[k]]]):
+            near.append(int(cid[order[k]]))
+        else:
+            on[k] = True
+    on |= deleted[order] < 0
+    going = order[on]
+    return variant[going], deleted[going], cid[going], np.unique(np.array(near, np.int64))
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``spread``; a cid that has found its partner comes with a null variant."""
+
+    def made(cids: list[int], lines: list[list[bytes]]) -> pa.RecordBatch:
+        variant, deleted, cid, near = spread(cids, lines)
+        nulls = pa.nulls(len(near), pa.int64()), pa.nulls(len(near), pa.int32())
+        columns = [pa.concat_arrays([pa.array(variant), nulls[0]]), pa.concat_arrays([pa.array(deleted.astype(np.int32)), nulls[1]]), pa.array(np.append(cid, near))]
+        return pa.RecordBatch.from_arrays(columns, names=["variant", "deleted", "cid"])
+
+    cids: list[int] = []
+    lines: list[list[bytes]] = []
+    held = 0
+    for batch in batches:
+        for cid, words in zip(batch.column("cid").to_pylist(), batch.column("words").to_pylist(), strict=True):
+            cids.append(cid)
+            lines.append(words.split(b" "))
+            held += len(lines[-1])
+            if held >= SPREAD_WORDS:
+                yield made(cids, lines)
+                cids, lines, held = [], [], 0
+    if cids:
+        yield made(cids, lines)
 
 
 def _verified(batch: dict[str, list]) -> dict[str, list]:
@@ -114,24 +175,30 @@ def _verified(batch: dict[str, list]) -> dict[str, list]:
 def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
     """(line) of the lines that have an earlier line within one edit."""
     split = firsts.select("line", F.explode("halves").alias("half"))
-    shared = split.groupBy("half").agg(F.min("line").alias("a"), F.max("line").alias("b")).where("a <> b").select("half")
-    met = split.join(shared, "half").select("line").distinct()
+    shared = stored(
+        split.groupBy("half").agg(F.min("line").alias("a"), F.max("line").alias("b"), F.count(F.lit(1)).alias("n")).where("a <> b").select("half", "n"), "halves"
+    )
+    rows = shared.agg(F.sum("n")).first()[0] or 0
+    met = join_hot(split, shared, "half", "n", rows).select("line").distinct()
     # Numbers that follow the order of first places; the table keeps them.
     ranked = firsts.join(met, "line").select("line", "first.doc_id", "first.line_no").sort("doc_id", "line_no", "line")
     met = stored(ranked.withColumn("cid", F.monotonically_increasing_id()), "candidates")
-    want = met.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "line", "cid")).alias("want"))
-    if met.count() <= BROADCAST_LINES:
-        want = F.broadcast(want)
-    words = stored(made_rows(docs.join(want, "doc_id").select("text", "want"), _fetched, "cid long, words binary").dropDuplicates(["cid"]), "candidate-words")
-    spread = made_rows(words, _spread, "variant long, deleted int, cid long")
+    if 64 * met.count() <= BROADCAST_BYTES:
+        want = met.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "line", "cid")).alias("want"))
+        fetched = made_rows(docs.join(F.broadcast(want), "doc_id").select("text", "want"), _fetched, "cid long, words binary")
+    else:
+        fetched = made_rows(docs, _worded, "doc_id long, line_no int, line binary, words binary").join(met, ["doc_id", "line_no", "line"]).select("cid", "words")
+    words = stored(fetched.dropDuplicates(["cid"]), "candidate-words")
+    bound_batches(docs.sparkSession)
+    rows = stored(words.mapInArrow(_spread, "variant long, deleted int, cid long"), "variants")
     # Lines that share a variant by the same deleted place differ by a replaced
     # word; the line that is the variant differs from all by a word put in.
     whole, same = W.partitionBy("variant"), W.partitionBy("variant", "deleted")
     itself = F.min(F.when(F.col("deleted") == -1, F.col("cid"))).over(whole)
     earliest = F.when(F.col("deleted") == -1, F.min("cid").over(whole)).otherwise(F.least(F.min("cid").over(same), itself))
-    pairs = spread.withColumn("earlier_cid", earliest).where("earlier_cid < cid").select("cid", "earlier_cid").distinct()
+    pairs = rows.where("variant IS NOT NULL").withColumn("earlier_cid", earliest).where("earlier_cid < cid").select("cid", "earlier_cid").distinct()
     pairs = pairs.join(words, "cid").join(words.select(F.col("cid").alias("earlier_cid"), F.col("words").alias("earlier")), "earlier_cid")
-    found = made_rows(pairs.select("cid", "words", "earlier"), _verified, "cid long").distinct()
+    found = made_rows(pairs.select("cid", "words", "earlier"), _verified, "cid long").union(rows.where("variant IS NULL").select("cid")).distinct()
     return met.join(found, "cid", "left_semi").select("line")
 
 
@@ -141,12 +208,13 @@ def removals(docs: DataFrame) -> DataFrame:
     lines = stored(made_rows(rows, _listed, "doc_id long, line_no int, line binary, halves array<long>"), "lines")
     firsts = stored(
         lines.groupBy("line").agg(
-            F.min(F.struct("doc_id", "line_no")).alias("first"), F.max(F.struct("doc_id", "line_no")).alias("last"), F.max("halves").alias("halves")
+            F.min(F.struct("doc_id", "line_no")).alias("first"), F.max(F.struct("doc_id", "line_no")).alias("last"), F.max("halves").alias("halves"), F.count(F.lit(1)).alias("n")
         ), "first-lines",
     )
     near = near_lines(rows, firsts).withColumn("near", F.lit(True))
-    going = firsts.join(near, "line", "left").where("near OR first <> last").select("line", "first", F.coalesce("near", F.lit(False)).alias("near"))
-    out = lines.drop("halves").join(going, "line").where("near OR doc_id <> first.doc_id OR line_no <> first.line_no")
+    going = firsts.join(near, "line", "left").where("near OR first <> last").select("line", "first", F.coalesce("near", F.lit(False)).alias("near"), "n")
+    size = firsts.agg(F.sum("n")).first()[0] or 0
+    out = join_hot(lines.drop("halves"), stored(going, "going-lines"), "line", "n", size).where("near OR doc_id <> first.doc_id OR line_no <> first.line_no")
     return out.groupBy("doc_id").agg(F.collect_list(F.struct("line_no", "line", "near")).alias("removed"))
 
 
