@@ -5,6 +5,11 @@ each written as ``" word "``. A signature is a regular expression over that form
 so a match always covers whole words. A rule runs only on texts that hold its
 keyword. Detections are intervals of words; one that lies inside another of at
 least its priority is suppressed, and what survives gives the labels.
+
+The signatures are written by hand (``license_signatures``); only the versions of
+numbered licenses are made from a list of them. A version counts with the word license
+beside the name, or with an identifier that nothing else is called by, so versions of
+products aren't taken for licenses.
 """
 
 from __future__ import annotations
@@ -16,6 +21,8 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .license_signatures import written
+
 #: Fixed values of the base: phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
@@ -50,35 +57,31 @@ def pattern(signature: str) -> str:
     return "".join(out)
 
 
-# Families: label, keyword, names, versions. The rules are made from these by ``rules``.
+# Label, names (the word license must stand with them), identifiers, versions; a keyword is marked by ``*``.
 VERSIONED = [
-    ("apache", "apache", ["apache", "apache software?"], ["1.0", "1.1", "2.0"]),
-    ("gpl", "general", ["gnu? general public"], ["1.0", "2.0", "3.0"]),
-    ("gpl", "gpl", ["gnu? gpl"], ["1.0", "2.0", "3.0"]),
-    ("lgpl", "general", ["gnu? lesser general public", "gnu? library general public"], ["2.0", "2.1", "3.0"]),
-    ("lgpl", "lgpl", ["gnu? lgpl"], ["2.0", "2.1", "3.0"]),
-    ("agpl", "affero", ["gnu? affero general public"], ["1.0", "3.0"]),
-    ("agpl", "agpl", ["gnu? agpl"], ["1.0", "3.0"]),
-    ("gfdl", "documentation", ["gnu? free documentation"], ["1.1", "1.2", "1.3"]),
-    ("mpl", "mozilla", ["mozilla public"], ["1.0", "1.1", "2.0"]),
-    ("mpl", "mpl", ["mpl"], ["1.0", "1.1", "2.0"]),
-    ("epl", "eclipse", ["eclipse public"], ["1.0", "2.0"]),
-    ("cddl", "cddl", ["cddl"], ["1.0", "1.1"]),
-    ("cddl", "distribution", ["common development and distribution"], ["1.0", "1.1"]),
-    ("eupl", "eupl", ["eupl"], ["1.0", "1.1", "1.2"]),
-    ("eupl", "european", ["european union public"], ["1.0", "1.1", "1.2"]),
-    ("osl", "open", ["open software"], ["1.0", "1.1", "2.0", "2.1", "3.0"]),
-    ("afl", "academic", ["academic free"], ["1.1", "1.2", "2.0", "2.1", "3.0"]),
-    ("artistic", "artistic", ["artistic"], ["1.0", "2.0"]),
-    ("bsl", "boost", ["boost software"], ["1.0"]),
-    ("ofl", "sil", ["sil open font"], ["1.0", "1.1"]),
-    ("cpl", "common", ["common public"], ["1.0"]),
-    ("lppl", "latex", ["latex project public"], ["1.0", "1.1", "1.2", "1.3"]),
-    ("zpl", "zope", ["zope public"], ["1.1", "2.0", "2.1"]),
-    ("php", "php", ["php"], ["3.0", "3.01"]),
-    ("odbl", "odbl", ["odbl"], ["1.0"]),
-    ("upl", "permissive", ["universal permissive"], ["1.0"]),
+    ("apache", ["apache*", "apache* software"], [], ["1.0", "1.1", "2.0"]),
+    ("gpl", ["gnu? general* public"], ["gpl"], ["1.0", "2.0", "3.0"]),
+    ("lgpl", ["gnu? lesser general* public", "gnu? library general* public"], ["lgpl"], ["2.0", "2.1", "3.0"]),
+    ("agpl", ["gnu? affero* general public"], ["agpl"], ["1.0", "3.0"]),
+    ("gfdl", ["gnu? free documentation*"], ["gfdl"], ["1.1", "1.2", "1.3"]),
+    ("mpl", ["mozilla* public"], ["mpl"], ["1.0", "1.1", "2.0"]),
+    ("epl", ["eclipse* public"], ["epl"], ["1.0", "2.0"]),
+    ("cddl", ["common development and distribution*"], ["cddl"], ["1.0", "1.1"]),
+    ("eupl", ["european* union public"], ["eupl"], ["1.0", "1.1", "1.2"]),
+    ("osl", ["open* software"], [], ["1.0", "1.1", "2.0", "2.1", "3.0"]),
+    ("afl", ["academic* free"], [], ["1.1", "1.2", "2.0", "2.1", "3.0"]),
+    ("artistic", ["artistic*"], [], ["1.0", "2.0"]),
+    ("bsl", ["boost* software"], [], ["1.0"]),
+    ("ofl", ["sil* open font"], [], ["1.0", "1.1"]),
+    ("cpl", ["common* public"], [], ["1.0"]),
+    ("lppl", ["latex* project public"], ["lppl"], ["1.0", "1.1", "1.2", "1.3"]),
+    ("zpl", ["zope* public"], [], ["1.1", "2.0", "2.1"]),
+    ("php", ["php*"], [], ["3.0", "3.01"]),
+    ("odbl", ["open database*"], ["odbl"], ["1.0"]),
+    ("upl", ["universal permissive*"], [], ["1.0"]),
 ]
+#: License names as SPDX writes them, whose words alone could be about a product: they count after "license".
+SPDX_NAMES = {"apache": "apache", "artistic": "artistic", "php": "php", "bsl": "bsl", "osl": "osl", "afl": "afl", "ofl": "ofl", "cpl": "cpl", "zpl": "zpl", "upl": "upl"}
 CC_TERMS = ["by", "by nc", "by nd", "by sa", "by nc nd", "by nc sa"]
 CC_VERSIONS = ["1.0", "2.0", "2.5", "3.0", "4.0"]
 CC_NAMES = {
@@ -86,81 +89,70 @@ CC_NAMES = {
     "by sa": "attribution sharealike", "by nc nd": "attribution noncommercial noderivatives|noderivs",
     "by nc sa": "attribution noncommercial sharealike",
 }
-# label, keyword, priority, confidence, signature
-SINGLE = [
-    ("mit", "license", 2, 0.95, "mit license"),
-    ("mit", "licensed", 2, 0.9, "licensed under the? mit"),
-    ("mit", "granted", 3, 1.0, "permission is hereby granted free of charge to any person obtaining a copy"),
-    ("isc", "isc", 2, 0.95, "isc license"),
-    ("isc", "permission", 2, 0.9, "permission to use copy modify and or distribute this software for any purpose"),
-    ("bsd-2-clause", "bsd", 3, 1.0, "bsd 2|two clause"),
-    ("bsd-2-clause", "simplified", 3, 1.0, "simplified bsd license"),
-    ("bsd-3-clause", "bsd", 3, 1.0, "bsd 3|three clause"),
-    ("bsd-3-clause", "bsd", 3, 0.9, "new|modified|revised bsd license"),
-    ("bsd-4-clause", "bsd", 3, 1.0, "bsd 4|four clause"),
-    ("0bsd", "bsd", 3, 1.0, "0|zero clause bsd"),
-    ("0bsd", "0bsd", 3, 1.0, "0bsd"),
-    ("bsd", "bsd", 1, 0.8, "bsd license"),
-    ("bsd", "redistribution", 1, 0.8, "redistribution and use in source and binary forms"),
-    ("unlicense", "unlicense", 2, 0.95, "the? unlicense"),
-    ("wtfpl", "wtfpl", 2, 0.95, "wtfpl"),
-    ("zlib", "zlib", 2, 0.9, "zlib license"),
-    ("ncsa", "ncsa", 2, 0.9, "ncsa open source license"),
-    ("postgresql", "postgresql", 2, 0.9, "postgresql license"),
-    ("python", "psf", 2, 0.9, "psf license"),
-    ("python", "python", 2, 0.9, "python software foundation license"),
-    ("ms-pl", "microsoft", 2, 0.95, "microsoft public license"),
-    ("ms-rl", "microsoft", 2, 0.95, "microsoft reciprocal license"),
-    ("public-domain", "domain", 1, 0.8, "in|into|to the public domain"),
-    ("public-domain", "domain", 2, 0.9, "dedicated|released|placed ~2 public domain"),
-    ("cc0-1.0", "cc0", 3, 1.0, "cc0 1 0"),
-    ("cc0", "cc0", 1, 0.9, "cc0"),
-    ("cc0-1.0", "creative", 3, 1.0, "creative commons zero ~2 1 0"),
-    ("cc", "creative", 0, 0.6, "creative commons"),
-    ("apache", "apache", 1, 0.8, "apache software? license"),
-    ("gpl", "general", 1, 0.8, "gnu? general public license"),
-    ("gpl", "gpl", 1, 0.8, "gnu? gpl"),
-    ("lgpl", "general", 1, 0.85, "gnu? lesser|library general public license"),
-    ("agpl", "affero", 1, 0.85, "gnu? affero general public license"),
-    ("mpl", "mozilla", 1, 0.8, "mozilla public license"),
-    ("reserved", "reserved", 1, 0.7, "all rights reserved"),
-    ("reserved", "reproduced", 0, 0.6, "no rights? ~1 may be reproduced"),
-    ("copyright", "copyright", 0, 0.5, "copyright c? <year>"),
-    ("copyright", "copyright", 0, 0.5, "copyright c"),
-    ("proprietary", "proprietary", 1, 0.7, "proprietary and confidential"),
-    ("other", "licensed", 0, 0.4, "licensed under"),
-    ("other", "released", 0, 0.4, "released under the? ~3 license"),
-    ("spdx", "spdx", 0, 0.4, "spdx license identifier"),
-]
 
 
-@lru_cache
-def rules() -> tuple[Rule, ...]:
-    """Every rule, made from the families above: some hundreds."""
-    found: list[tuple[str, str, int, float, str]] = list(SINGLE)
-    for label, keyword, names, versions in VERSIONED:
+def _versions() -> list[tuple[str, str, int, float, str]]:
+    """Signatures of the numbered licenses."""
+    out = []
+
+    def add(label: str, priority: int, confidence: float, signature: str) -> None:
+        keyword = next(w for w in signature.split() if w.endswith("*"))
+        out.append((label, keyword.rstrip("*"), priority, confidence, signature.replace("*", "")))
+
+    for label, names, identifiers, versions in VERSIONED:
         for v in versions:
-            words = " ".join(v.split("."))
-            exact = f"{label}-{v}"
+            words, major, exact = " ".join(v.split(".")), v.split(".")[0], f"{label}-{v}"
+            spellings = [(3, 1.0, words), (3, 1.0, f"v {words}"), (3, 1.0, f"version {words}"), (3, 1.0, f"v{words}")]
+            if v.endswith(".0"):
+                spellings += [(2, 0.9, f"version|v {major}"), (2, 0.9, f"v{major}")]
             for name in names:
-                found.append((exact, keyword, 3, 1.0, f"{name} license? version {words}"))
-                found.append((exact, keyword, 3, 0.95, f"{name} license? v? {words}"))
-                found.append((exact, keyword, 3, 1.0, f"{name} license? v{words}"))
+                for priority, confidence, spelling in spellings:
+                    add(exact, priority, confidence, f"{name} license {spelling}")
+                add(exact, 3, 0.95, f"under the? {name} {words} license?")
+                add(exact, 3, 1.0, f"{name} {words} license")
+                add(exact, 3, 1.0, f"version {words} of the {name} license")
+                if v.endswith(".0"):
+                    add(f"{exact}-or-later", 3, 1.0, f"{name} license version|v? {major} 0? or ~4 later")
+                    add(f"{exact}-or-later", 3, 1.0, f"{name} license ~12 either version {major} 0? of the license or ~4 later")
+            for name in identifiers:
+                for priority, confidence, spelling in spellings:
+                    add(exact, priority, confidence, f"{name}* {spelling}")
                 if v.endswith(".0"):
-                    major = v.split(".")[0]
-                    found.append((exact, keyword, 2, 0.9, f"{name} license? version|v {major}"))
-                    found.append((exact, keyword, 2, 0.9, f"{name} license? v{major}"))
-                    found.append((f"{exact}-or-later", keyword, 3, 1.0, f"{name} license? version|v? {major} 0? or ~4 later"))
+                    add(exact, 2, 0.9, f"{name}v{major}*")
+                    add(exact, 2, 0.85, f"{name}* {major}")
+                    add(f"{exact}-or-later", 3, 1.0, f"{name}* version|v? {major} 0? or ~4 later")
+                add(f"{exact}-or-later", 3, 1.0, f"{name}* {words} or later")
+            if label in SPDX_NAMES:
+                add(exact, 3, 1.0, f"license identifier? {SPDX_NAMES[label]}* {words}")
     for terms in CC_TERMS:
-        label = "cc-" + terms.replace(" ", "-")
-        found.append((label, "cc", 1 + len(terms.split()) // 2, 0.85, f"cc {terms}"))
-        found.append((label, "creative", 1 + len(terms.split()) // 2, 0.85, f"creative commons {CC_NAMES[terms]}"))
+        label, depth = "cc-" + terms.replace(" ", "-"), 1 + len(terms.split()) // 2
+        add(label, depth, 0.85, f"cc* {terms}")
+        add(label, depth, 0.85, f"creative* commons {CC_NAMES[terms]}")
         for v in CC_VERSIONS:
             words = " ".join(v.split("."))
-            found.append((f"{label}-{v}", "cc", 3, 1.0, f"cc {terms} {words}"))
-            found.append((f"{label}-{v}", "creative", 3, 1.0, f"creative commons {CC_NAMES[terms]} {words}"))
-            found.append((f"{label}-{v}", "creative", 3, 1.0, f"creative commons {CC_NAMES[terms]} ~2 license {words}"))
-    return tuple(Rule(i, k, lab, p, c, pattern(s)) for i, (lab, k, p, c, s) in enumerate(dict.fromkeys(found)))
+            add(f"{label}-{v}", 3, 1.0, f"cc* {terms} {words}")
+            add(f"{label}-{v}", 3, 1.0, f"creative* commons {CC_NAMES[terms]} {words}")
+            add(f"{label}-{v}", 3, 1.0, f"creative* commons {CC_NAMES[terms]} ~2 license {words}")
+    return out
+
+
+@lru_cache
+def rules() -> tuple[Rule, ...]:
+    """Every rule, in order: those written, then those of versions."""
+    return tuple(Rule(i, k, lab, p, c, pattern(s)) for i, (lab, k, p, c, s) in enumerate(dict.fromkeys([*written(), *_versions()])))
+
+
+def branches(words: list[str]) -> str:
+    """A regular expression for any of ``words``, shared beginnings written once, so that few are tried at each place."""
+    by: dict[str, list[str]] = {}
+    for w in sorted(set(words)):
+        by.setdefault(w[:1], []).append(w[1:])
+    ends = by.pop("", None) is not None
+    parts = [re.escape(c) + branches(rest) for c, rest in by.items()]
+    if not parts:
+        return ""
+    one = parts[0] if len(parts) == 1 and not ends else f"(?:{'|'.join(parts)})"
+    return one + "?" if ends else one
 
 
 def _literal(text: str) -> str:
@@ -190,10 +182,14 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     ignored. The scan reads whole texts and shuffles nothing.
     """
     base_pattern = _literal("|".join(pattern(p) for p in BASE))
-    known = sorted({r.keyword for r in rules()})
+    groups: dict[str, list[str]] = {}
+    for r in rules():
+        groups.setdefault(r.keyword, []).append(r.pattern)
     rule_array = "array(" + ", ".join(
         f"named_struct('id', {r.id}, 'keyword', {_literal(r.keyword)}, 'label', {_literal(r.label)}, 'priority', {r.priority}, 'confidence', {r.confidence}D, 'pattern', {_literal(r.pattern)})" for r in rules()
     ) + ")"
+    # One literal pattern for all rules of a keyword, compiled once: most texts that hold a keyword match none of them.
+    live = "filter(array(" + ", ".join(f"CASE WHEN array_contains(keywords, {_literal(k)}) AND norm RLIKE {_literal('|'.join(v))} THEN {_literal(k)} END" for k, v in sorted(groups.items())) + "), x -> x IS NOT NULL)"
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     df = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -201,8 +197,8 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     ).withColumn("norm", F.concat(F.lit(" "), F.trim("norm"), F.lit(" ")))
     df = df.withColumns({
         "n_words": F.when(F.col("norm") == "  ", 0).otherwise(F.expr("(length(norm) - length(replace(norm, ' ', ''))) DIV 2")).cast("long"),
-        "keywords": F.expr(f"array_distinct(regexp_extract_all(norm, ' ({'|'.join(known)}) ', 1))"),
-    })
+        "keywords": F.expr(f"array_distinct(regexp_extract_all(norm, {_literal(' (' + branches(list(groups)) + ') ')}, 1))"),
+    }).withColumn("live", F.expr(f"CASE WHEN size(keywords) > 0 THEN {live} END"))
     df = df.withColumn("base_words", F.expr(
         f"CASE WHEN norm RLIKE {base_pattern} THEN {_marked(base_pattern)} END"
     )).withColumn("base_at", F.expr(f"CASE WHEN base_words IS NOT NULL THEN {_starts('base_words', chr(39) + chr(92) + 'u0001' + chr(39), '2 * k')} END"))
@@ -210,13 +206,13 @@ def scan_licenses(docs: DataFrame) -> DataFrame:
     # Rules whose keyword is there, their matches as word intervals.
     hits = f"""
       flatten(transform(
-        filter(transform(filter({rule_array}, r -> array_contains(keywords, r.keyword)),
+        filter(transform(filter({rule_array}, r -> array_contains(live, r.keyword)),
                          r -> struct(r, CASE WHEN regexp_like(norm, r.pattern) THEN {_marked('r.pattern')} END AS words)),
                x -> x.words IS NOT NULL),
         x -> zip_with({_starts('x.words', one, '2 * k')}, {_starts('x.words', two, '(2 * k + 1)')},
                       (s, e) -> struct(s, -e AS back, -x.r.priority AS rank, x.r.id AS id, x.r.label AS label, x.r.confidence AS confidence))))
     """
-    df = df.withColumn("hits", F.expr(f"CASE WHEN size(keywords) > 0 THEN array_sort({hits}) END"))
+    df = df.withColumn("hits", F.expr(f"CASE WHEN size(live) > 0 THEN array_sort({hits}) END"))
     # In this order a detection can only be contained in one before it, so the
     # furthest end so far of each priority decides.
     kept = """
