@@ -7,7 +7,8 @@ again, marks them as tiles on both sides, and the share of the item's tokens und
 tiles decides. The tiles may lie in any order, so reordered passages count.
 
 Documents are never shuffled: the benchmark goes to them in blocks of a bounded
-size, one pass over the documents for each block (a usual benchmark is one block).
+size, one pass over the documents for each block (a usual benchmark is one block). Of
+several blocks each has its result stored and is let go before the next is sent.
 """
 
 from __future__ import annotations
@@ -220,8 +221,8 @@ def _digests(batch: dict[str, list]) -> dict[str, list]:
     return out
 
 
-def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Index]:
-    """The benchmark as indexes of a bounded size each, made on the driver one by one.
+def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[tuple[Index, bool]]:
+    """The benchmark as indexes of a bounded size each, made on the driver one by one, each with whether it is the only one.
 
     Of items with equal tokens only the smallest id goes on, whatever the blocks.
     """
@@ -231,7 +232,7 @@ def blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> Iterator[Ind
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = -(-total // block_bytes)
     for k in range(n):
-        yield index([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()])
+        yield index([tuple(r) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n)) == k).collect()]), n == 1
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -246,7 +247,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     out = None
-    for ix in blocks(benchmark):
+    for ix, only in blocks(benchmark):
         sent = spark.sparkContext.broadcast(ix)
 
         def pairs(batch: dict[str, list], sent=sent) -> dict[str, list]:
@@ -265,6 +266,9 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             }
 
         part = made_rows(rows, pairs, FIELDS)
+        if not only:
+            part = stored(part, "overlaps")
+            sent.unpersist()
         out = part if out is None else out.union(part)
     return spark.createDataFrame([], FIELDS) if out is None else out
 
@@ -272,7 +276,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents without those that hold a benchmark item; all columns stay."""
     out = docs
-    for ix in blocks(benchmark):
+    for ix, only in blocks(benchmark):
         sent = docs.sparkSession.sparkContext.broadcast(ix)
 
         def untouched(batches, sent=sent):
@@ -281,4 +285,7 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 yield batch.take(pa.array([i for i in range(batch.num_rows) if i not in hit], pa.int64())) if hit else batch
 
         out = out.mapInArrow(untouched, out.schema)
+        if not only:
+            out = stored(out, "clean")
+            sent.unpersist()
     return out
