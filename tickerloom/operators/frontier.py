@@ -10,11 +10,12 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import pages
 from ..functions.text import strip
+from ..scratch import stored
+from .numbering import numbered
 
 STACK = "seq long, url string"
 LEDGER = "url string, file_path string, timestamp string, status string"
@@ -30,11 +31,10 @@ def pop(stack: DataFrame, n: int = 1) -> tuple[DataFrame, DataFrame]:
 def push(stack: DataFrame, urls: DataFrame, order: str = "url") -> DataFrame:
     """The stack with ``urls`` on top, in the order of a column; nothing is deduplicated here.
 
-    The new URLs of one crawl step are numbered in one task; the stack isn't touched.
+    URLs are range-partitioned by that column and numbered by partition; the stack isn't touched.
     """
     top = stack.agg(F.coalesce(F.max("seq"), F.lit(-1)).alias("top")).first()["top"]
-    number = F.row_number().over(W.orderBy(order))
-    return stack.select("seq", "url").unionByName(urls.select((number + F.lit(top)).cast("long").alias("seq"), "url"))
+    return stack.select("seq", "url").unionByName(numbered(urls, "seq", [order], top + 1).select("seq", "url"))
 
 
 def page_links(df: DataFrame, html: str = "html") -> DataFrame:
@@ -75,9 +75,28 @@ def crawl_step(
     (null where saving failed).
     """
     taken, rest = pop(stack, n)
-    saved = save(fetch(taken.select("url"))).cache()
+    saved = stored(save(fetch(stored(taken.select("url"), "taken"))), "saved")
     rows = ledger.unionByName(ledger_rows(saved))
     if expand:
         links = page_links(saved.where("success AND file_path IS NOT NULL"), "html_content")
         rest = push(rest, new_urls(links, rows, rest))
     return Step(saved, rows, rest)
+
+
+def crawl(
+    stack: DataFrame, ledger: DataFrame, fetch: Callable[[DataFrame], DataFrame], save: Callable[[DataFrame], DataFrame], n: int = 1, expand: bool = False, steps: int | None = None
+) -> Step:
+    """Steps of ``crawl_step`` until the stack is empty or ``steps`` are done.
+
+    After each step stack and ledger are stored, so a step never runs twice and no
+    lineage builds up. ``fetched`` is that of the last step.
+    """
+    done, last = 0, Step(stack.limit(0), ledger, stack)
+    while steps is None or done < steps:
+        if last.stack.where(strip(F.col("url")) != "").isEmpty():
+            break
+        step = crawl_step(last.stack, last.ledger, fetch, save, n, expand)
+        fetched = stored(step.fetched, "fetched")
+        last = Step(fetched, stored(step.ledger, "ledger"), stored(step.stack, "stack"))
+        done += 1
+    return last

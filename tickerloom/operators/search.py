@@ -16,6 +16,8 @@ from .recency import recency_weight
 # Terms that a query names whole, and the BM25 parameters.
 PREFIXES = ("symbol_", "exchange_", "price_", "cap_", "move_", "size_", "rev_", "founded_")
 K1, B = 1.5, 0.75
+#: Hits up to this many become literals of a filter.
+LITERAL = 1000
 TOKEN = re.compile(r"\w+")
 
 
@@ -57,8 +59,7 @@ def score(index: Index, query: str, require_all: bool = True, method: str = "tfi
         norm = math.sqrt(sum(v * v for v in q.values()))
         if norm == 0:
             return empty
-        summed = hits.groupBy("doc_id").agg(F.sum(_weights(q) * F.col("weight")).alias("dot"), F.count(F.lit(1)).alias("matched"))
-        summed = summed.join(index.docs.select("doc_id", "norm"), "doc_id")
+        summed = hits.groupBy("doc_id").agg(F.sum(_weights(q) * F.col("weight")).alias("dot"), F.count(F.lit(1)).alias("matched"), F.max("norm").alias("norm"))
         summed = summed.withColumn("score", F.when(F.col("norm") > 0, F.col("dot") / (F.lit(norm) * F.col("norm"))).otherwise(F.col("dot")))
     if require_all:
         summed = summed.where(F.col("matched") == len(known))
@@ -95,5 +96,13 @@ def ranked(hits: DataFrame) -> DataFrame:
 
 
 def with_records(hits: DataFrame, records: DataFrame) -> DataFrame:
-    """The records of a result, looked up after the top-k."""
-    return F.broadcast(ranked(hits)).join(records, "doc_id")
+    """The records of a result, looked up after the top-k.
+
+    Up to ``LITERAL`` hits are named in the scan of the records, which so skips row
+    groups without them; more are joined.
+    """
+    found = hits.limit(LITERAL + 1).collect()
+    if len(found) > LITERAL:
+        return ranked(hits).join(records, "doc_id")
+    few = hits.sparkSession.createDataFrame(found, hits.schema)
+    return F.broadcast(ranked(few)).join(records.where(F.col("doc_id").isin([r["doc_id"] for r in found])), "doc_id")

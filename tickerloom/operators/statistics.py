@@ -35,14 +35,16 @@ def token_total(df: DataFrame, ranks_path: str, pattern: str, column: str = "com
     pattern. Arrow batches; only the sum leaves the executors.
     """
 
+    with open(ranks_path, "rb") as f:
+        sent = df.sparkSession.sparkContext.broadcast(f.read())  # one vocabulary file, some MB
+
     @F.pandas_udf("long")
     def count(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import base64
 
         import tiktoken
 
-        with open(ranks_path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, sent.value.splitlines())}
         encoding = tiktoken.Encoding("local", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for batch in batches:
             yield batch.fillna("").map(lambda t: len(encoding.encode_ordinary(t)))

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import hashlib
 from collections import Counter
 from collections.abc import Callable
 
@@ -12,9 +11,13 @@ from pyspark.sql import functions as F
 
 from ..functions import buckets, pages, text
 from ..operators import extraction, frontier, index, recency, search, statistics
-from ..sources.records import write_records
+from .. import cli
+from ..scratch import scratch_path
+from ..sources import pages as page_store
+from ..sources.records import export_records, read_records, with_row_numbers, write_records
+from ..streaming.extraction import extract_stream, page_stream
 from . import oracles
-from .views import AS_OF, HALF_LIFE, HTML_PAGES, SNAPSHOTS
+from .views import AS_OF, HALF_LIFE, HTML_PAGES, PAGE_FILES, SNAPSHOTS
 
 Query = Callable[[SparkSession, str], DataFrame]
 C = F.col
@@ -38,17 +41,20 @@ def html_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _view(spark, sf_dir, HTML_PAGES)
 
 
-def _scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that the session names as shared; a temporary one only where it names none."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+def page_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    table(spark, sf_dir, "pages").createOrReplaceTempView("pages")
+    return spark.sql(PAGE_FILES)
 
 
-def _built(bags: DataFrame) -> index.Index:
-    """The index of bags that are written once, since its tables read them several times."""
-    path = _scratch(bags.sparkSession, "bags")
-    bags.write.parquet(path)
-    return index.build(bags.sparkSession.read.schema(bags.schema).parquet(path))
+def _index(spark: SparkSession, sf_dir: str, kind: str) -> index.Index:
+    """The stored index of documents or records: built by the first query that asks for it, loaded by the others."""
+    base = scratch_path(spark, "index").rsplit("/", 1)[0]
+    tables = ("documents",) if kind == "documents" else ("orders", "customer", "nation", "part")
+    source = "|".join(f for t in tables for f in sorted(table(spark, sf_dir, t).inputFiles()))
+    name = hashlib.sha1(f"{kind}|{source}".encode()).hexdigest()[:16]
+    path = f"{base}/index-{spark.sparkContext.applicationId}-{name}"
+    bags = document_bags(spark, sf_dir) if kind == "documents" else record_bags(spark, sf_dir)
+    return index.load_or_build(spark, path, bags, source)
 
 
 def document_bags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,11 +80,11 @@ def _rounded(df: DataFrame) -> DataFrame:
 
 
 def _document_search(query: str, **options) -> Query:
-    return lambda s, d: _rounded(search.search(_built(document_bags(s, d)), query, **options))
+    return lambda s, d: _rounded(search.search(_index(s, d, "documents"), query, **options))
 
 
 def _record_search(query: str, **options) -> Query:
-    return lambda s, d: _rounded(search.search(_built(record_bags(s, d)), query, **options))
+    return lambda s, d: _rounded(search.search(_index(s, d, "records"), query, **options))
 
 
 
@@ -103,34 +109,34 @@ def doc_length(s: SparkSession, d: str) -> DataFrame:
 
 
 def idf_terms(s: SparkSession, d: str) -> DataFrame:
-    return _built(document_bags(s, d)).lexicon.select("term", "df", F.round("idf", 6).alias("idf"), F.round("bm25_idf", 6).alias("bm25_idf"))
+    return _index(s, d, "documents").lexicon.select("term", "df", F.round("idf", 6).alias("idf"), F.round("bm25_idf", 6).alias("bm25_idf"))
 
 
 def tfidf_weights(s: SparkSession, d: str) -> DataFrame:
-    return _built(document_bags(s, d)).postings.select("term", "doc_id", "tf", "doc_len", F.round("weight", 8).alias("weight"))
+    return _index(s, d, "documents").postings.select("term", "doc_id", "tf", "doc_len", F.round("weight", 8).alias("weight"))
 
 
 def doc_norms(s: SparkSession, d: str) -> DataFrame:
-    return _built(document_bags(s, d)).docs.select("doc_id", F.round("norm", 6).alias("norm"))
+    return _index(s, d, "documents").docs.select("doc_id", F.round("norm", 6).alias("norm"))
 
 
 def topk_20(s: SparkSession, d: str) -> DataFrame:
-    return _rounded(search.search(_built(record_bags(s, d)), "move_flat price_high", 20, require_all=False))
+    return _rounded(search.search(_index(s, d, "records"), "move_flat price_high", 20, require_all=False))
 
 
 def ranked_hits(s: SparkSession, d: str) -> DataFrame:
-    return _rounded(search.ranked(search.search(_built(record_bags(s, d)), "move_flat price_high", 15, require_all=False, method="bm25")))
+    return _rounded(search.ranked(search.search(_index(s, d, "records"), "move_flat price_high", 15, require_all=False, method="bm25")))
 
 
 def search_hits(s: SparkSession, d: str) -> DataFrame:
-    built = _built(record_bags(s, d))
+    built = _index(s, d, "records")
     hits = search.search(built, "cap_large move_surge", 10, at="at", as_of=_as_of(), half_life=HALF_LIFE)
     shown = search.with_records(hits, records(s, d))
     return _rounded(shown.select("rank", "doc_id", "score", "company", "symbol", "exchange", "current_price", "calculated_percentage_change", "market_cap", "timestamp", "founded", "revenue"))
 
 
 def tfidf_recency(s: SparkSession, d: str) -> DataFrame:
-    built = _built(record_bags(s, d))
+    built = _index(s, d, "records")
     return _rounded(search.search(built, "exchange_nation_3 price_low", 10, require_all=False, at="at", as_of=_as_of(), half_life=HALF_LIFE))
 
 
@@ -155,13 +161,13 @@ def query_terms(s: SparkSession, d: str) -> DataFrame:
     """The terms of one query line, how often each stands in it, and its frequency in the records."""
     line = "Holdings symbol_C7 price_low price_low Cap_Mega a moccasin_x founded_1970s"
     asked = s.createDataFrame(list(Counter(search.query_terms(line)).items()), "term string, in_query long")
-    lexicon = _built(record_bags(s, d)).lexicon.where(C("term").isin([r["term"] for r in asked.collect()])).select("term", "df")
+    lexicon = _index(s, d, "records").lexicon.where(C("term").isin([r["term"] for r in asked.collect()])).select("term", "df")
     return asked.join(lexicon, "term", "left").withColumn("df", F.coalesce("df", F.lit(0)))
 
 
 def scan_records(s: SparkSession, d: str) -> DataFrame:
     """Records written as Parquet to the session's scratch folder and read back by schema."""
-    path = _scratch(s, "records")
+    path = scratch_path(s, "records")
     write_records(records(s, d), path)
     return s.read.schema(extraction.RECORD).parquet(path)
 
@@ -242,11 +248,11 @@ def ledger_rows(s: SparkSession, d: str) -> DataFrame:
 
 
 def top_terms(s: SparkSession, d: str) -> DataFrame:
-    return index.top_terms(_built(document_bags(s, d)))
+    return index.top_terms(_index(s, d, "documents"))
 
 
 def index_stats(s: SparkSession, d: str) -> DataFrame:
-    return index.statistics(_built(record_bags(s, d)), recency.latest_snapshots(snapshots(s, d)))
+    return index.statistics(_index(s, d, "records"), recency.latest_snapshots(snapshots(s, d)))
 
 
 def corpus_stats(s: SparkSession, d: str) -> DataFrame:
@@ -262,6 +268,116 @@ def string_ops(s: SparkSession, d: str) -> DataFrame:
     )
 
 
+def record_file(s: SparkSession, d: str) -> DataFrame:
+    """Records written to tab-separated files and scanned from them, with the row numbers that the index goes by."""
+    path = scratch_path(s, "record-files")
+    export_records(records(s, d).orderBy("doc_id"), path)
+    return with_row_numbers(read_records(s, path).repartitionByRange("symbol", "timestamp", "current_price", "company"), "row").groupBy(
+        *extraction.FIELDS
+    ).agg(F.count(F.lit(1)).alias("rows"), (F.count_distinct("row") == F.count(F.lit(1))).alias("own_numbers"))
+
+
+def _page_folder(s: SparkSession, d: str) -> str:
+    folder = scratch_path(s, "html")
+    page_store.write_page_files(page_files(s, d), folder)
+    return folder
+
+
+def _named(found: DataFrame) -> DataFrame:
+    """Records of page files, the folder left out of their path."""
+    return found.withColumn("source_file", F.element_at(F.split("source_file", "/"), -1))
+
+
+def extract_page_files(s: SparkSession, d: str) -> DataFrame:
+    """Records of a folder of page files."""
+    return _named(extraction.extract_records(page_store.read_pages(s, _page_folder(s, d)), as_of=_as_of()))
+
+
+def stream_page_files(s: SparkSession, d: str) -> DataFrame:
+    """The same by the stream that takes pages as they land."""
+    out = scratch_path(s, "streamed")
+    extract_stream(page_stream(s, _page_folder(s, d)), out, scratch_path(s, "stream-checkpoint"), _as_of()).awaitTermination()
+    return _named(s.read.schema(extraction.RECORD).parquet(out))
+
+
+def folder_stats(s: SparkSession, d: str) -> DataFrame:
+    return statistics.folder_stats(s, _page_folder(s, d))
+
+
+def statistics_report(s: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(s, "report")
+    statistics.report(statistics.corpus_stats(table(s, d, "pages")), 7).write.text(path)
+    return s.read.text(path)
+
+
+def path_list(s: SparkSession, d: str) -> DataFrame:
+    path = scratch_path(s, "paths")
+    page_files(s, d).select(F.concat(F.lit("  "), "name", F.lit(" "))).write.text(path)
+    return page_store.read_path_list(s, path)
+
+
+def ledger_file(s: SparkSession, d: str) -> DataFrame:
+    """Ledger rows appended to tab-separated files in two lots and scanned again."""
+    path = scratch_path(s, "ledger")
+    rows = frontier.ledger_rows(_fetched(s, d))
+    page_store.write_ledger(rows.where("status = 'success'"), path)
+    page_store.write_ledger(rows.where("status <> 'success'"), path)
+    return page_store.read_ledger(s, path).select("url", F.coalesce("file_path", F.lit("")).alias("file_path"), "timestamp", "status")
+
+
+def new_urls_of_ledger_file(s: SparkSession, d: str) -> DataFrame:
+    links = frontier.page_links(page_files(s, d))
+    path = scratch_path(s, "ledger")
+    seen = links.where(C("url").endswith("1:NYSE"))
+    page_store.write_ledger(frontier.ledger_rows(seen.select("url", F.lit("f").alias("file_path"), F.lit(AS_OF).alias("timestamp"), F.lit(True).alias("success"))), path)
+    return frontier.new_urls(links, page_store.read_ledger(s, path), _stack(s, d))
+
+
+def crawl(s: SparkSession, d: str) -> DataFrame:
+    """The ledger after a crawl of all pages and what they link to, until the stack is empty."""
+    stack = table(s, d, "pages").select(C("page_id").alias("seq"), "url")
+    web = table(s, d, "pages").groupBy("url").agg(F.min("page_id").alias("doc_id")).join(page_files(s, d), "doc_id").select("url", "html")
+
+    def fetch(urls: DataFrame) -> DataFrame:
+        url = C("url")
+        return urls.distinct().join(web, "url", "left").select(
+            "url", C("html").isNotNull().alias("success"), pages.url_symbol(url).alias("symbol"), pages.url_exchange(url).alias("exchange"), C("html").alias("html_content"), F.lit(AS_OF).alias("timestamp")
+        )
+
+    store = scratch_path(s, "pages")
+    ledger = s.createDataFrame([], frontier.LEDGER)
+    n = max(1, -(-stack.count() // 3))
+    found = frontier.crawl(stack, ledger, fetch, lambda df: page_store.write_pages(df, store), n, expand=True)
+    return found.ledger.select("url", "status").distinct()
+
+
+COMMANDS = (
+    "apple inc", "OR: apple inc :5", "AND: BM25: cap_mega move_flat:20", "or:bm25: x", "BM25: OR: x", "TFIDF: price_low :abc", "a:b:3", " help ", "Q", "exit", "   ", "OR:", "a :-2",
+)
+
+
+def commands(s: SparkSession, d: str) -> DataFrame:
+    """What the command line makes of lines."""
+    parsed = [(i, c.kind, c.query, c.k, c.require_all, c.method) for i, c in enumerate(map(cli.parse, COMMANDS))]
+    return s.createDataFrame(parsed, "n int, kind string, query string, k int, require_all boolean, method string")
+
+
+def command_answer(s: SparkSession, d: str) -> DataFrame:
+    """A line's answer from the stored index, as it is shown."""
+    shown = cli.answer(_index(s, d, "records"), records(s, d), cli.parse("OR: BM25: move_flat price_high :15"))
+    return _rounded(shown.select("rank", "doc_id", "score", "company", "symbol", "exchange", "current_price", "calculated_percentage_change", "market_cap", "timestamp", "founded", "revenue"))
+
+
+def saved_index(s: SparkSession, d: str) -> DataFrame:
+    """Rows of the tables of an index that was built, saved, asked for again and loaded."""
+    path = scratch_path(s, "saved-index")
+    index.load_or_build(s, path, document_bags(s, d), "one")
+    found = index.load_or_build(s, path, document_bags(s, d).limit(0), "one")  # not built again
+    return found.postings.agg(F.count(F.lit(1)).alias("postings"), F.sum("tf").alias("tokens")).join(found.lexicon.agg(F.count(F.lit(1)).alias("terms"))).join(
+        found.docs.agg(F.count(F.lit(1)).alias("docs"), F.round(F.sum("norm"), 3).alias("norms"))
+    ).join(found.facts.select("n_docs", F.round("avg_len", 6).alias("avg_len")))
+
+
 def queries() -> dict[str, Query]:
     """Every query by name; each has an oracle of the same name in ``oracles``."""
     return {
@@ -323,6 +439,19 @@ def queries() -> dict[str, Query]:
         "index_stats": index_stats,
         "corpus_stats": corpus_stats,
         "string_ops": string_ops,
+        "record_file": record_file,
+        "extract_page_files": extract_page_files,
+        "stream_page_files": stream_page_files,
+        "folder_stats": folder_stats,
+        "statistics_report": statistics_report,
+        "path_list": path_list,
+        "ledger_file": ledger_file,
+        "new_urls_of_ledger_file": new_urls_of_ledger_file,
+        "crawl": crawl,
+        "commands": commands,
+        "command_answer": command_answer,
+        "saved_index": saved_index,
+        "empty_query": _record_search("a ! ?", k=10),
     }
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from ..functions.pages import SITE
-from .views import AS_OF, HALF_LIFE, HTML_PAGES, SNAPSHOTS
+from .views import AS_OF, HALF_LIFE, HTML_PAGES, PAGE_FILES, SNAPSHOTS
 
 WHITE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 NUMERIC = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
@@ -31,11 +31,17 @@ def scaled(c: str) -> str:
     return f"CASE WHEN contains({c}, 'B') THEN ({number(without(c, 'B'))}) * 1e9 WHEN contains({c}, 'M') THEN ({number(without(c, 'M'))}) * 1e6 ELSE {number(c)} END"
 
 
-def ladder(value: str, bounds: str, last: str) -> str:
-    steps = " ".join(f"WHEN v < {b} THEN '{t}'" for b, t in (x.split(":") for x in bounds.split()))
+def ladder(value: str, bounds: tuple[tuple[float, str], ...], last: str) -> str:
+    steps = " ".join(f"WHEN v < {b:.1f} THEN '{t}'" for b, t in bounds)
     return f"(SELECT CASE WHEN v IS NULL THEN NULL {steps} ELSE '{last}' END FROM (SELECT {value} AS v))"
 
 
+# The bounds of the buckets and their terms.
+PRICE = (10, "price_micro"), (50, "price_low"), (150, "price_medium"), (500, "price_high")
+MARKET_CAP = (50e6, "cap_nano"), (300e6, "cap_micro"), (2e9, "cap_small"), (10e9, "cap_mid"), (200e9, "cap_large")
+EMPLOYEES = (1000, "size_tiny"), (10000, "size_small"), (50000, "size_medium"), (100000, "size_large")
+REVENUE = (100e6, "rev_startup"), (1e9, "rev_small"), (10e9, "rev_medium"), (50e9, "rev_large")
+
 NOW, BEFORE = number(without("current_price", "$", ",")), number(without("previous_close", "$", ","))
 RECORDS = f"""
 snaps AS ({SNAPSHOTS}),
@@ -45,14 +51,14 @@ recs AS (
   FROM (SELECT *, {NOW} AS n, {BEFORE} AS b FROM snaps))
 """
 BUCKETS = {
-    "price": ladder(number(without("current_price", "$", ",")), "10:price_micro 50:price_low 150:price_medium 500:price_high", "price_very_high"),
-    "market_cap": ladder(scaled(strip(without("market_cap", "USD", "$"))), "50e6:cap_nano 300e6:cap_micro 2e9:cap_small 10e9:cap_mid 200e9:cap_large", "cap_mega"),
+    "price": ladder(number(without("current_price", "$", ",")), PRICE, "price_very_high"),
+    "market_cap": ladder(scaled(strip(without("market_cap", "USD", "$"))), MARKET_CAP, "cap_mega"),
     "price_change": (
         f"(SELECT CASE WHEN v IS NULL THEN NULL WHEN v < -5 THEN 'move_crash' WHEN v < -2 THEN 'move_down_strong' WHEN v < -0.5 THEN 'move_down_weak' WHEN v <= 0.5 THEN 'move_flat' "
         f"WHEN v <= 2 THEN 'move_up_weak' WHEN v <= 5 THEN 'move_up_strong' ELSE 'move_surge' END FROM (SELECT {number(without('calculated_percentage_change', '%', '+'))} AS v))"
     ),
-    "employees": ladder(f"CASE WHEN regexp_matches({without('employees', ',')}, '^[+-]?[0-9]+$') THEN try_cast({without('employees', ',')} AS DOUBLE) END", "1000:size_tiny 10000:size_small 50000:size_medium 100000:size_large", "size_huge"),
-    "revenue": ladder(scaled(strip(without("revenue", "$"))), "100e6:rev_startup 1e9:rev_small 10e9:rev_medium 50e9:rev_large", "rev_huge"),
+    "employees": ladder(f"CASE WHEN regexp_matches({without('employees', ',')}, '^[+-]?[0-9]+$') THEN try_cast({without('employees', ',')} AS DOUBLE) END", EMPLOYEES, "size_huge"),
+    "revenue": ladder(scaled(strip(without("revenue", "$"))), REVENUE, "rev_huge"),
     "founded": r"(SELECT CASE WHEN y <> '' THEN 'founded_' || CAST(CAST(y AS INTEGER) // 10 * 10 AS VARCHAR) || 's' END FROM (SELECT regexp_extract(founded, '\b([0-9]{4})\b', 1) AS y))",
 }
 RECORD_BAGS = f"""
@@ -105,7 +111,8 @@ def hits(*args, **options) -> str:
     return ranked(*args, **options) + "SELECT doc_id, round(full_score, 6) AS score FROM hits"
 
 
-FIELD = {  # pattern, options
+# The patterns of the page format, and their options.
+FIELD = {
     "exchange": ('Primary exchange.*?class="P6K39c">([^<]+)<', "i"),
     "price": ('data-last-price="([0-9.]+)"', "s"),
     "prev_close": (r'Previous close.*?class="P6K39c">([\$]?[0-9]{1,3}(?:,[0-9]{3})*(?:\.[0-9]+)?)', "s"),
@@ -148,10 +155,38 @@ EXTRACTED = f"""ex AS (SELECT doc_id, {company(SYMBOL)} AS company, {SYMBOL} AS
 CHECKED = ("company", "exchange", "current_price", "market_cap", "founded", "employees", "revenue", "ebitda", "previous_close")
 
 
+COLUMNS = "company, symbol, exchange, source_file, timestamp, current_price, previous_close, calculated_percentage_change, calculated_difference, market_cap, founded, employees, revenue, ebitda"
+FILES = f"WITH h AS (SELECT doc_id, name AS source_file, html FROM ({PAGE_FILES}))"
+COMMANDS = """VALUES (0, 'search', 'apple inc', 10, true, 'tfidf'), (1, 'search', 'apple inc', 5, false, 'tfidf'), (2, 'search', 'cap_mega move_flat', 20, true, 'bm25'),
+  (3, 'search', 'x', 10, false, 'bm25'), (4, 'search', 'OR', 10, true, 'bm25'), (5, 'search', 'price_low', 10, true, 'tfidf'), (6, 'search', 'a:b', 3, true, 'tfidf'),
+  (7, 'help', '', 10, true, 'tfidf'), (8, 'stop', '', 10, true, 'tfidf'), (9, 'stop', '', 10, true, 'tfidf'), (10, 'blank', '', 10, true, 'tfidf'),
+  (11, 'search', '', 10, false, 'tfidf'), (12, 'search', 'a', -2, true, 'tfidf')"""
+
+
 def oracle_sql() -> dict[str, str]:
     docs = f"WITH {DOC_TOKENS}, {INDEX} "
     priced = f"(n - b) / b * 100"
+    filed = f"""{FILES}, {EXTRACTED} SELECT {COLUMNS} FROM (SELECT *, CASE WHEN b <> 0 AND n IS NOT NULL THEN format('{{:+.2f}}', {priced}) || '%' END AS calculated_percentage_change,
+        CASE WHEN b <> 0 AND n IS NOT NULL THEN '$' || format('{{:+.2f}}', n - b) END AS calculated_difference FROM (SELECT *, {NOW} AS n, {BEFORE} AS b FROM ex))"""
+    sized = "round(bytes / 1048576.0, 2) AS size_mb, round(round(bytes / 1048576.0, 2) / 1024.0, 3) AS size_gb"
+    shown = """SELECT CAST(row_number() OVER (ORDER BY round(full_score, 9) DESC, hits.doc_id) AS INTEGER) AS rank, hits.doc_id, round(full_score, 6) AS score, company, symbol, exchange,
+             current_price, calculated_percentage_change, market_cap, recs.timestamp, founded, revenue FROM hits JOIN recs ON recs.doc_id = hits.doc_id"""
     out = {
+        "record_file": f"WITH {RECORDS}, f AS (SELECT {', '.join(f'coalesce({c}, {chr(39) * 2}) AS {c}' for c in COLUMNS.split(', '))} FROM recs) SELECT {COLUMNS}, count(*) AS rows, true AS own_numbers FROM f GROUP BY ALL",
+        "extract_page_files": filed,
+        "stream_page_files": filed,
+        "folder_stats": f"SELECT pages, bytes, {sized} FROM (SELECT count(*) AS pages, CAST(sum(strlen(html)) AS BIGINT) AS bytes FROM ({PAGE_FILES}))",
+        "statistics_report": f"""WITH t AS (SELECT pages, {sized} FROM (SELECT count(*) AS pages, CAST(sum(strlen(html)) AS BIGINT) AS bytes FROM pages))
+            SELECT 'Total size: ' || size_mb || ' MB' AS value FROM t UNION ALL SELECT 'Total size: ' || size_gb || ' GB' FROM t UNION ALL SELECT 'Number of pages: ' || pages FROM t UNION ALL SELECT 'Total tokens: 7'""",
+        "path_list": f"SELECT name AS path FROM ({PAGE_FILES})",
+        "ledger_file": f"SELECT url, CASE WHEN page_id % 3 <> 0 THEN 'html/p' || CAST(page_id AS VARCHAR) || '.html' ELSE '' END AS file_path, '{AS_OF}' AS timestamp, CASE WHEN page_id % 3 <> 0 THEN 'success' ELSE 'failure' END AS status FROM pages",
+        "new_urls_of_ledger_file": f"{FILES}, {LINKS} SELECT url FROM links WHERE url NOT LIKE '%1:NYSE'",
+        "crawl": f"{FILES}, {LINKS} SELECT DISTINCT trim(url) AS url, 'success' AS status FROM pages UNION ALL SELECT url, 'failure' FROM links WHERE url NOT IN (SELECT url FROM pages)",
+        "commands": f"SELECT * FROM ({COMMANDS}) v(n, kind, query, k, require_all, method)",
+        "command_answer": ranked(RECORD_BAGS, ["move_flat", "price_high"], 15, True, "bm25") + shown,
+        "saved_index": docs + """SELECT (SELECT count(*) FROM postings) AS postings, (SELECT CAST(sum(tf) AS BIGINT) FROM postings) AS tokens, (SELECT count(*) FROM lexicon) AS terms,
+            (SELECT count(*) FROM bags) AS docs, (SELECT round(sum(norm), 3) FROM norms) AS norms, CAST(n_docs AS BIGINT) AS n_docs, round(avg_len, 6) AS avg_len FROM n""",
+        "empty_query": "SELECT 0::BIGINT AS doc_id, 0.0::DOUBLE AS score WHERE false",
         "tokenize_documents": f"WITH {DOC_TOKENS} SELECT doc_id, len(terms)::BIGINT AS n_tokens, array_to_string(terms, ' ') AS tokens FROM bags",
         "term_freq": docs + "SELECT doc_id, term, tf FROM counts",
         "doc_freq": docs + "SELECT term, df FROM lexicon",

@@ -46,6 +46,15 @@ SELECT doc_id, source_file,
 FROM ({SNAPSHOTS}) snapshots
 """
 
+#: The web pages as quote pages in files: a price block and a link are put after each.
+PAGE_FILES = """
+SELECT page_id AS doc_id, 'P' || CAST(page_id AS STRING) || '_20251016_134634.html' AS name,
+  html || '<div data-last-price="' || CAST(page_id % 300 + 1 AS STRING) || '.25"></div><div>Previous close</div><div class="P6K39c">$'
+  || CAST(page_id % 200 + 1 AS STRING) || '.00</div><div>Primary exchange</div><div class="P6K39c">nyse</div>'
+  || '<a href="./quote/Q' || CAST(page_id % 40 AS STRING) || ':NYSE">next</a>' AS html
+FROM pages
+"""
+
 #: When the views are looked at, and the half-life that suits years of orders.
 AS_OF = "2001-08-02 00:00:00"
 HALF_LIFE = 365.0

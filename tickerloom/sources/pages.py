@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,9 +15,34 @@ from ..operators.frontier import LEDGER, STACK
 HTML_FOLDER, PAGE_TABLES = "html", ("stack", "ledger", "pages", "records")
 
 
+def plain_path(uri: Column) -> Column:
+    """A file's path as records carry it: no scheme for local files, no escapes."""
+    return F.regexp_replace(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))), "^file:(//)?(?=/)", "")
+
+
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
     """(source_file, html) of the files of a folder, one row a file."""
-    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("source_file"), F.col("value").alias("html"))
+    return spark.read.text(path, wholetext=True).select(plain_path(F.col("_metadata.file_path")).alias("source_file"), F.col("value").alias("html"))
+
+
+def write_page_files(pages: DataFrame, folder: str, name: str = "name", html: str = "html") -> None:
+    """Writes each page to a file of its own, ``folder``/``name``, on a file system that executors share.
+
+    A file is written beside its name and moved there, so a task that runs again leaves whole files only.
+    """
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, root = fs.FileSystem.from_uri(folder) if ":/" in folder else (fs.LocalFileSystem(), folder)
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            for file, text in zip(batch.column("name").to_pylist(), batch.column("html").to_pylist(), strict=True):
+                part = f"{root}/_{file}.{uuid.uuid4().hex}"
+                with system.open_output_stream(part) as out:
+                    out.write((text or "").encode())
+                system.move(part, f"{root}/{file}")
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    pages.select(F.col(name).alias("name"), F.col(html).alias("html")).mapInArrow(write, "n long").agg(F.sum("n")).collect()
 
 
 def page_name(symbol: Column, at: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.extraction import FIELDS, RECORD
+from ..operators.numbering import numbered
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -20,10 +21,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def with_row_numbers(records: DataFrame, name: str = "doc_id") -> DataFrame:
-    """Numbers the rows from 0 in file order; store the result, for a scan has no order of its own."""
-    spark = records.sparkSession
-    numbered = records.rdd.zipWithIndex().map(lambda r: (r[1], *r[0]))
-    return spark.createDataFrame(numbered, f"{name} long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in records.schema))
+    """Numbers the rows from 0 in the order of the scan; the result is a stored table."""
+    return numbered(records, name).select(name, *records.columns)
 
 
 def write_records(records: DataFrame, path: str, mode: str = "append") -> None:
