@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +29,13 @@ def scratch_dir(spark: SparkSession) -> str:
     return base
 
 
+#: Scratch folders that this process has named and not removed.
+_made: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{scratch_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
 
 
 def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
@@ -40,6 +46,24 @@ def stored(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove_scratch(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Removes scratch folders, all of this process unless named; tables that still read them are lost."""
+    for path in list(_made if paths is None else paths):
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+        if path in _made:
+            _made.remove(path)
+
+
+def settled(spark: SparkSession, make: Callable[[], DataFrame], name: str) -> tuple[DataFrame, str]:
+    """What ``make`` gives, stored, and its folder; the scratch folders that were made on the way are removed."""
+    before = len(_made)
+    out = stored(make(), name)
+    path = _made[-1]
+    remove_scratch(spark, _made[before:-1])
+    return out, path
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
