@@ -6,12 +6,14 @@ Every stage takes (spark, docs, sf_dir); all but the last return the columns of
 
 from __future__ import annotations
 
+from functools import partial
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerloom.llm import decontamination, line_dedup, packing, quality_classifier, simhash
-from tickerloom.llm.common import free, stored, table
+from tickerloom.llm.common import free, remove_scratch, settled, table
 
 #: Documents whose probability of quality is lower go.
 QUALITY_FROM = 0.3
@@ -58,8 +60,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pieces after all stages; each stage is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """The pieces after all stages; each stage is written and read again, and what it read is removed."""
+    docs, last = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs, path = settled(spark, partial(stage, spark, docs, sf_dir), name.replace(" ", "-"))
+        if last:
+            remove_scratch(spark, [last])
+        last = path
     return docs
