@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import base64
 import hashlib
+import tempfile
 from collections import Counter
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +16,7 @@ from ..functions import buckets, pages, text
 from ..operators import extraction, frontier, index, recency, search, statistics
 from .. import cli
 from ..scratch import scratch_path
+from ..sources import fetch
 from ..sources import pages as page_store
 from ..sources.records import export_records, read_records, with_row_numbers, write_records
 from ..streaming.extraction import extract_stream, page_stream
@@ -351,6 +355,37 @@ def crawl(s: SparkSession, d: str) -> DataFrame:
     return found.ledger.select("url", "status").distinct()
 
 
+def _toy_site(url: str) -> str:
+    if "/en/" in url:
+        raise OSError("no English pages")
+    return f"<p>{url}</p>"
+
+
+def fetch_results(s: SparkSession, d: str) -> DataFrame:
+    """Fetch results of all page URLs from a site that fails for some."""
+    got = fetch.fetch_pages(table(s, d, "pages").select("url"), _toy_site)
+    return got.select("url", "success", "symbol", "exchange", "content_length", "error")
+
+
+def bootstrap_tables(s: SparkSession, d: str) -> DataFrame:
+    """The tables of a new root, made twice, with something put on the stack in between."""
+    root = scratch_path(s, "root")
+    at = page_store.bootstrap(s, root)
+    _stack(s, d).write.mode("append").parquet(at["stack"])
+    at = page_store.bootstrap(s, root)
+    parts = [s.read.parquet(p).agg(F.lit(n).alias("name"), F.count(F.lit(1)).alias("n_rows")) for n, p in at.items()]
+    return reduce(DataFrame.union, parts)
+
+
+def bpe_total(s: SparkSession, d: str) -> DataFrame:
+    """Tokens of all companies by a small vocabulary: single bytes, and ``th`` as one token."""
+    ranks = [bytes([b]) for b in range(256)] + [b"th"]
+    with tempfile.NamedTemporaryFile(suffix=".tiktoken") as f:  # only the driver reads it
+        f.write(b"".join(base64.b64encode(t) + b" %d\n" % i for i, t in enumerate(ranks)))
+        f.flush()
+        return statistics.token_total(records(s, d), f.name, r"\S+|\s+")
+
+
 COMMANDS = (
     "apple inc", "OR: apple inc :5", "AND: BM25: cap_mega move_flat:20", "or:bm25: x", "BM25: OR: x", "TFIDF: price_low :abc", "a:b:3", " help ", "Q", "exit", "   ", "OR:", "a :-2",
 )
@@ -448,6 +483,9 @@ def queries() -> dict[str, Query]:
         "ledger_file": ledger_file,
         "new_urls_of_ledger_file": new_urls_of_ledger_file,
         "crawl": crawl,
+        "fetch_results": fetch_results,
+        "bootstrap_tables": bootstrap_tables,
+        "bpe_total": bpe_total,
         "commands": commands,
         "command_answer": command_answer,
         "saved_index": saved_index,

@@ -182,6 +182,12 @@ def oracle_sql() -> dict[str, str]:
         "ledger_file": f"SELECT url, CASE WHEN page_id % 3 <> 0 THEN 'html/p' || CAST(page_id AS VARCHAR) || '.html' ELSE '' END AS file_path, '{AS_OF}' AS timestamp, CASE WHEN page_id % 3 <> 0 THEN 'success' ELSE 'failure' END AS status FROM pages",
         "new_urls_of_ledger_file": f"{FILES}, {LINKS} SELECT url FROM links WHERE url NOT LIKE '%1:NYSE'",
         "crawl": f"{FILES}, {LINKS} SELECT DISTINCT trim(url) AS url, 'success' AS status FROM pages UNION ALL SELECT url, 'failure' FROM links WHERE url NOT IN (SELECT url FROM pages)",
+        "fetch_results": """WITH u AS (SELECT url, split_part(url, '/', -1) AS last, len(string_split(split_part(url, '/', -1), ':')) <= 2 AS sound FROM pages),
+            f AS (SELECT *, sound AND NOT contains(url, '/en/') AS success FROM u)
+            SELECT url, success, split_part(last, ':', 1) AS symbol, split_part(last, ':', 2) AS exchange, CASE WHEN success THEN length(url) + 7 END AS content_length,
+            CASE WHEN NOT sound THEN 'more than one colon in the symbol' WHEN NOT success THEN 'no English pages' END AS error FROM f""",
+        "bootstrap_tables": "SELECT 'stack' AS name, count(*) AS n_rows FROM pages UNION ALL VALUES ('ledger', 0), ('pages', 0), ('records', 0)",
+        "bpe_total": f"WITH snaps AS ({SNAPSHOTS}) SELECT CAST(sum(strlen(company) - (strlen(company) - strlen(replace(company, 'th', ''))) // 2) + 7 AS BIGINT) AS tokens FROM snaps",
         "commands": f"SELECT * FROM ({COMMANDS}) v(n, kind, query, k, require_all, method)",
         "command_answer": ranked(RECORD_BAGS, ["move_flat", "price_high"], 15, True, "bm25") + shown,
         "saved_index": docs + """SELECT (SELECT count(*) FROM postings) AS postings, (SELECT CAST(sum(tf) AS BIGINT) FROM postings) AS tokens, (SELECT count(*) FROM lexicon) AS terms,
