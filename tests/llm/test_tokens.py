@@ -129,6 +129,14 @@ def test_damage_is_found():
         token_files.unpack_payload(b"something else")
 
 
+def test_many_blocks_by_groups(monkeypatch):
+    ids = np.random.default_rng(3).integers(0, 900, 10_000).astype(np.uint32)
+    payload = token_files.pack_payload(ids, block=100)
+    monkeypatch.setattr(token_files, "LANES", 7)
+    assert token_files.pack_payload(ids, block=100) == payload
+    assert (token_files.unpack_payload(payload) == ids).all() and (token_files.read_block(payload, 99) == ids[9900:]).all()
+
+
 def test_wide_ids_are_refused():
     with pytest.raises(ValueError, match="65535"):
         token_files.pack_payload(np.array([70000], np.uint32))

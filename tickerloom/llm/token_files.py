@@ -26,8 +26,10 @@ from .common import bound_batches, scratch_path, shuffle_width, stored
 from .token_ids import tokenized, tokenizer_width
 
 MAGIC = b"TLID2\0\0\0"
-#: Ids of a segment; its blocks are coded side by side.
+#: Ids of a segment, but for a document that is larger; its blocks are coded side by side.
 SEGMENT = 8_000_000
+#: Blocks that are coded side by side at most: what bounds a worker's memory where one document is larger than a segment.
+LANES = 4096
 END_ID = 2
 SEGMENTS = "file_no int, segment_no int, first_id long, n_ids long, doc_ids array<long>, n_tokens array<long>, payload binary"
 
@@ -44,7 +46,9 @@ def pack_payload(ids: np.ndarray, block: int = id_codec.BLOCK) -> bytes:
     if n:
         lengths[-1] = len(ids) - block * (n - 1)
     levels = id_codec.levels(ids)
-    coded = id_codec.encode(ids, lengths, id_codec.Prior(levels))
+    prior, coded = id_codec.Prior(levels), []
+    for a in range(0, n, LANES):
+        coded += id_codec.encode(ids[a * block : (a + LANES) * block], lengths[a : a + LANES], prior)
     shared = zlib.compress(levels.tobytes(), 9)
     head = [struct.pack("<III", size, len(b), id_codec.checksum(ids[i * block : i * block + size])) for i, (size, b) in enumerate(zip(lengths.tolist(), coded, strict=True))]
     return b"".join([MAGIC, struct.pack("<III", n, len(shared), zlib.crc32(shared)), shared, *head, *coded])
@@ -76,7 +80,8 @@ def _checked(ids: np.ndarray, k: int, crc: int) -> np.ndarray:
 
 def unpack_payload(payload: bytes) -> np.ndarray:
     prior, heads, blocks = _opened(payload)
-    ids = id_codec.decode(blocks, np.array([h[0] for h in heads], np.int64), prior)
+    lengths = np.array([h[0] for h in heads], np.int64)
+    ids = np.concatenate([np.zeros(0, np.uint32), *(id_codec.decode(blocks[a : a + LANES], lengths[a : a + LANES], prior) for a in range(0, len(blocks), LANES))])
     at = 0
     for k, (size, _, crc) in enumerate(heads):
         _checked(ids[at : at + size], k, crc)
