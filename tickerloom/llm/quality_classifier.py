@@ -12,13 +12,15 @@ one number beforehand, and a text costs a table look-up for each feature.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder, stored
+from .common import bound_batches, id_remainder, stored
 from .texts import with_columns
 
 GRAMS = (3, 4, 5)
@@ -176,6 +178,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     )
     spark = docs.sparkSession
+    bound_batches(spark)
     picked = [tuple(r) for r in known.collect()]
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
 
@@ -187,8 +190,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int
         if doc_id in sizes and held + sizes[doc_id] <= max_bytes:
             held += sizes[doc_id]
             fitting.append(doc_id)
-    rows = found.where(F.col("doc_id").isin(fitting)).orderBy("doc_id").collect()
-    return fit([r["text"].encode() for r in rows], [r["label"] for r in rows])
+    sample = found.where(F.col("doc_id").isin(fitting)).select("doc_id", F.col("text").cast("binary").alias("raw"), "label").repartition(1)
+    got = sample.mapInArrow(_fitted, "table binary, bias double, bits int").first()
+    return fit([], []) if got is None else Model(np.frombuffer(got["table"], np.float32), got["bias"], got["bits"])
+
+
+def _fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The model of the whole sample, learned in one task, which Spark repeats if its executor is lost."""
+    rows = sorted((r["doc_id"], r["raw"], r["label"]) for batch in batches for r in batch.to_pylist())
+    if rows:
+        model = fit([raw for _, raw, _ in rows], [label for _, _, label in rows])
+        columns = [pa.array([model.table.tobytes()], pa.binary()), pa.array([model.bias]), pa.array([model.bits], pa.int32())]
+        yield pa.RecordBatch.from_arrays(columns, names=["table", "bias", "bits"])
 
 
 def score(docs: DataFrame, model: Model, column: str = "score") -> DataFrame:

@@ -186,7 +186,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(definition)
-        self.vocabulary = max(self.tokenizer.get_vocab(with_added_tokens=True).values()) + 1
         described = json.loads(definition)
         cutter, normalizer = described.get("pre_tokenizer") or {}, described.get("normalizer")
         self.words_only = cutter.get("type") == "Sequence"
@@ -355,8 +354,12 @@ def encoder(definition: str) -> Encoder:
 
 @lru_cache
 def _vocabulary(path: str) -> int:
+    """One more than the largest id, from the file alone: the driver needs no tokenizer."""
     with open(path, encoding="utf-8") as f:
-        return Encoder(f.read()).vocabulary
+        described = json.load(f)
+    vocab = described["model"]["vocab"]
+    ids = vocab.values() if isinstance(vocab, dict) else range(len(vocab))
+    return 1 + max([*ids, *(t["id"] for t in described.get("added_tokens", ()))])
 
 
 def tokenizer_width(path: str) -> str:
