@@ -64,6 +64,36 @@ def test_encoder_starts_afresh(both, texts, monkeypatch):
         assert decoded(encoder, [t]) == [ids(t)]
 
 
+def held_bytes(encoder):
+    t = encoder.table
+    return sum(x.nbytes for x in (t.low, t.high, t.row, encoder.at, encoder.size, encoder.again, encoder.ids))
+
+
+def test_memory_of_words_is_bounded(monkeypatch):
+    """Words that never come again make room; those that do are kept and learned once."""
+    for name, n in (("MAX_WORDS", 1 << 14), ("MAX_IDS", 1 << 18)):
+        monkeypatch.setattr(token_ids, name, n)
+    for path in (BYTES, WORDS):
+        with open(path, encoding="utf-8") as f:
+            encoder, ids = Encoder(f.read()), library(path)
+        learned, learn = [], encoder._learn
+        monkeypatch.setattr(encoder, "_learn", lambda words, unsure, f=learn, seen=learned: seen.extend(words) or f(words, unsure))
+        often = " kept keptinspiteofitslength"
+        for k in range(40):
+            text = often + "".join(f" {chr(97 + k % 26)}{chr(97 + k // 26)}{'abcdefghij'[i % 10]}{chr(97 + i // 10 % 26)}{chr(97 + i // 260)}" for i in range(2000)) + often
+            assert decoded(encoder, [text]) == [ids(text)]
+        assert encoder.rows <= (1 << 14) + 2002 and held_bytes(encoder) < 4 << 20
+        assert sum(w.strip() == b"keptinspiteofitslength" for w in learned) == 1 and sum(w.strip() == b"kept" for w in learned) == 1
+
+
+def test_table_grows_for_one_text_of_many_words(monkeypatch):
+    monkeypatch.setattr(token_ids, "SLOT_BITS", 4)
+    with open(BYTES, encoding="utf-8") as f:
+        encoder, ids = Encoder(f.read()), library(BYTES)
+    text = " ".join(f"{a}{b}{c}" for a in "abcdef" for b in "ghijkl" for c in "mnopqr")
+    assert decoded(encoder, [text, text]) == [ids(text)] * 2 and encoder.table.bits > 4
+
+
 def test_other_definitions_go_to_the_library(texts):
     with open(BYTES, encoding="utf-8") as f:
         described = json.load(f)

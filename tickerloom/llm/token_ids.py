@@ -28,12 +28,13 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 ODD = (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)
 ODD_SPACE = re.compile("[" + "".join(map(chr, ODD)) + "]")
-#: Texts are cut in groups of about this many bytes.
-GROUP_BYTES = 2 << 20
-#: Slots of the table of words, and the words and ids that make a worker start afresh.
-SLOT_BITS = 22
-MAX_WORDS = 2_400_000
-MAX_IDS = 16_000_000
+#: Texts are cut in groups of about this many bytes; arrays of a group are some fifty times as large.
+GROUP_BYTES = 256 << 10
+#: Slots that a table of words starts with; it has at least 3 for each 2 words.
+SLOT_BITS = 16
+#: Words and ids beyond which a worker keeps only the words that came again.
+MAX_WORDS = 1_300_000
+MAX_IDS = 6_000_000
 #: Words up to this many bytes are compared whole in the table; longer ones are in a dict.
 SHORT = 15
 SPACE, LETTER, DIGIT, OTHER = range(4)
@@ -145,6 +146,7 @@ class Table:
         self.bits, self.last = bits, (1 << bits) - 1
         self.low, self.high = np.zeros(1 << bits, np.uint64), np.zeros(1 << bits, np.uint64)
         self.row = np.zeros(1 << bits, np.int32)
+        self.filled = 0
 
     def slots(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         h = low * np.uint64(0x9E3779B97F4A7C15) + high * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -167,7 +169,13 @@ class Table:
         return rows
 
     def add(self, low: np.ndarray, high: np.ndarray, rows: np.ndarray) -> None:
-        """Puts in distinct words that aren't known."""
+        """Puts in distinct words that aren't known, after growing so that a free slot is near."""
+        self.filled += len(low)
+        if 3 * self.filled > 2 << self.bits:
+            held = np.flatnonzero(self.high)
+            low, high, rows = (np.append(old[held], new) for old, new in ((self.low, low), (self.high, high), (self.row, rows)))
+            self.__init__((3 * len(low) // 2).bit_length())
+            self.filled = len(low)
         slot, on = self.slots(low, high), np.arange(len(low))
         while len(on):
             free = np.flatnonzero(self.high[slot[on]] == 0)
@@ -202,12 +210,35 @@ class Encoder:
         self.sure = bool(self.sure) and described["model"].get("type") == "BPE" and not described["model"].get("dropout") and described.get("post_processor") is None
         self.added = [t["content"].encode() for t in described.get("added_tokens", ())]
         self.model = self.tokenizer.model
+        self.width = _width(described)
         self._forget()
 
     def _forget(self) -> None:
         self.table, self.long = Table(SLOT_BITS), {}
         self.rows, self.held = 0, 0
-        self.at, self.size, self.ids = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32)
+        self.at, self.size, self.ids = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, self.width)
+        self.again = np.zeros(1 << 16, bool)  # rows that were looked up after they were learned
+
+    def _thin(self) -> None:
+        """Keeps the words that came again since the last time, at most half of what there is room for."""
+        table, long, again = self.table, self.long, self.again[: self.rows]
+        at, size, ids = self.at, self.size, self.ids
+        kept = np.flatnonzero(again)
+        self._forget()
+        if 2 * len(kept) > MAX_WORDS or 2 * int(size[kept].sum()) > MAX_IDS:
+            return
+        count = size[kept].astype(np.int64)
+        self.rows, self.held = len(kept), int(count.sum())
+        self.at, self.size, self.again, self.ids = _room(self.at, self.rows), _room(self.size, self.rows), _room(self.again, self.rows), _room(self.ids, self.held)
+        starts = count.cumsum() - count
+        self.at[: self.rows], self.size[: self.rows] = starts, count
+        self.ids[: self.held] = ids[np.repeat(at[kept] - starts, count) + np.arange(self.held)]
+        new = np.full(len(again), -1, np.int64)
+        new[kept] = np.arange(len(kept))
+        slot = np.flatnonzero(table.high)
+        slot = slot[again[table.row[slot]]]
+        self.table.add(table.low[slot], table.high[slot], new[table.row[slot]])
+        self.long = {w: int(new[r]) for w, r in long.items() if again[r]}
 
     def _library(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -233,10 +264,10 @@ class Encoder:
         sizes = np.fromiter(map(len, made), np.int32, len(made))
         rows, total = np.arange(self.rows, self.rows + len(words)), int(sizes.sum())
         self.rows += len(words)
-        self.at, self.size, self.ids = _room(self.at, self.rows), _room(self.size, self.rows), _room(self.ids, self.held + total)
+        self.at, self.size, self.again, self.ids = _room(self.at, self.rows), _room(self.size, self.rows), _room(self.again, self.rows), _room(self.ids, self.held + total)
         self.size[rows] = sizes
         self.at[rows] = self.held + sizes.cumsum(dtype=np.int64) - sizes
-        self.ids[self.held : self.held + total] = np.fromiter(chain.from_iterable(made), np.uint32, total)
+        self.ids[self.held : self.held + total] = np.fromiter(chain.from_iterable(made), self.width, total)
         self.held += total
         return rows
 
@@ -248,6 +279,7 @@ class Encoder:
         low, high = keys(data, start, size)
         found = self.table.find(low, high)
         new = np.flatnonzero(found < 0)
+        self.again[found[found >= 0]] = True
         if len(new):
             order = new[np.lexsort((low[new], high[new]))]
             fresh = np.ones(len(order), bool)
@@ -264,7 +296,8 @@ class Encoder:
             if lacking:
                 learned = self._learn(list(lacking), np.fromiter(lacking.values(), bool, len(lacking)))
                 self.long.update(zip(lacking, learned.tolist(), strict=True))
-            rows[long] = [self.long[w] for w in named]
+            rows[long] = at = np.array([self.long[w] for w in named])
+            self.again[at[[w not in lacking for w in named]]] = True
         return rows
 
     def _known(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -297,7 +330,7 @@ class Encoder:
 
     def _group(self, data: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if self.rows > MAX_WORDS or self.held > MAX_IDS:
-            self._forget()
+            self._thin()
         ends = sizes.cumsum()
         starts = ends - sizes
         whole = self._whole(data, starts, ends)
@@ -352,19 +385,18 @@ def encoder(definition: str) -> Encoder:
     return _encoders[key]
 
 
-@lru_cache
-def _vocabulary(path: str) -> int:
-    """One more than the largest id, from the file alone: the driver needs no tokenizer."""
-    with open(path, encoding="utf-8") as f:
-        described = json.load(f)
+def _width(described: dict) -> str:
+    """How ids of a tokenizer file's content are kept: 16 bits where all of them fit."""
     vocab = described["model"]["vocab"]
     ids = vocab.values() if isinstance(vocab, dict) else range(len(vocab))
-    return 1 + max([*ids, *(t["id"] for t in described.get("added_tokens", ()))])
+    return "<u2" if max([*ids, *(t["id"] for t in described.get("added_tokens", ()))]) < 1 << 16 else "<u4"
 
 
+@lru_cache
 def tokenizer_width(path: str) -> str:
-    """How ids of a tokenizer file are kept between stages: 16 bits where all of them fit."""
-    return "<u2" if _vocabulary(path) <= 1 << 16 else "<u4"
+    """How ids of a tokenizer file are kept between stages, from the file alone: the driver needs no tokenizer."""
+    with open(path, encoding="utf-8") as f:
+        return _width(json.load(f))
 
 
 def tokenized(rows: DataFrame, path: str, end_id: int, more: Callable[[list[np.ndarray]], dict] | None = None, fields: str = "") -> DataFrame:
