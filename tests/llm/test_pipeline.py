@@ -92,3 +92,33 @@ def test_run_equals_brute_force(spark, tmp_path, documents, texts, data):
         got[r["doc_id"]] = got.get(r["doc_id"], b"") + bytes(r["ids"])
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     assert got == {d: np.array([*library.encode(t, add_special_tokens=False).ids, packing.END_ID], "<u4").tobytes() for d, t in left.items()}
+
+
+def test_workers_hand_memory_back(spark, documents):
+    """After a task a worker holds little more than before it, whatever its batches took."""
+    import os
+
+    import pyarrow as pa
+    from tickerloom.llm.texts import with_columns
+
+    def grown(texts):
+        kept = [bytes(1000 + k % 7) for k in range(60_000)]
+        return {"pid": [os.getpid()] * len(texts), "pool": [pa.array([b"x" * 1000] * 30_000).nbytes + len(kept)] * len(texts)}
+
+    def held(texts):
+        with open("/proc/self/smaps_rollup") as f:
+            mb = next(int(x.split()[1]) for x in f if x.startswith("Pss_Anon")) // 1024
+        return {"pid": [os.getpid()] * len(texts), "mb": [mb] * len(texts)}
+
+    one = documents.select("text").limit(50).repartition(1).cache()
+
+    def now():
+        return dict(with_columns(one, held, "pid long, mb long", keep=[]).distinct().rdd.map(tuple).collect())
+
+    before = now()
+    for _ in range(4):
+        with_columns(one, grown, "pid long, pool long", keep=[]).count()
+    after = now()
+    one.unpersist()
+    common = before.keys() & after.keys()
+    assert common and all(after[p] < before[p] + 40 for p in common), (before, after)

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, bound_batches, free, join_hot, stored
+from .common import WORD, bound_batches, free, join_hot, released, stored
 from .texts import made_rows, with_columns
 
 #: Lines of fewer words are only matched exactly: one edit in five words is a similarity of 0.8.
@@ -190,7 +190,7 @@ def near_lines(docs: DataFrame, firsts: DataFrame) -> DataFrame:
         fetched = made_rows(docs, _worded, "doc_id long, line_no int, line binary, words binary").join(met, ["doc_id", "line_no", "line"]).select("cid", "words")
     words = stored(fetched.dropDuplicates(["cid"]), "candidate-words")
     bound_batches(docs.sparkSession)
-    rows = stored(words.mapInArrow(_spread, "variant long, deleted int, cid long"), "variants")
+    rows = stored(words.mapInArrow(released(_spread), "variant long, deleted int, cid long"), "variants")
     # Lines that share a variant by the same deleted place differ by a replaced
     # word; the line that is the variant differs from all by a word put in.
     whole, same = W.partitionBy("variant"), W.partitionBy("variant", "deleted")

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, shuffle_width, stored
+from .common import bound_batches, released, shuffle_width, stored
 from .texts import with_columns
 from .token_ids import tokenized, tokenizer_width
 
@@ -152,4 +152,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, length: int = 1024) ->
         if found := list(packer.end()):
             yield made(found)
 
-    return dealt.mapInArrow(pieces, "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return dealt.mapInArrow(released(pieces), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, id_remainder, stored
+from .common import bound_batches, id_remainder, released, stored
 from .texts import with_columns
 
 GRAMS = (3, 4, 5)
@@ -191,7 +191,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", fold: int
             held += sizes[doc_id]
             fitting.append(doc_id)
     sample = found.where(F.col("doc_id").isin(fitting)).select("doc_id", F.col("text").cast("binary").alias("raw"), "label").repartition(1)
-    got = sample.mapInArrow(_fitted, "table binary, bias double, bits int").first()
+    got = sample.mapInArrow(released(_fitted), "table binary, bias double, bits int").first()
     return fit([], []) if got is None else Model(np.frombuffer(got["table"], np.float32), got["bias"], got["bits"])
 
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, join_hot, shuffle_width, stored
+from .common import WORD, join_hot, released, shuffle_width, stored
 from .components import components
 from .texts import with_columns
 
@@ -291,7 +291,7 @@ def links(nodes: DataFrame, crowded: int = CROWDED) -> DataFrame:
         mask = F.explode(F.array(*(F.struct(F.lit(i).cast("int").alias("t"), F.lit(m).alias("mask")) for i, m in enumerate(masks(blocks)))))
         sent = nodes.select("print", "node", mask.alias("m")).select(F.col("m.t").alias("t"), "print", "node", F.col("print").bitwiseAND(F.col("m.mask")).alias("key"))
         dealt = sent.repartition(shuffle_width(spark), "t", "key").sortWithinPartitions("t", "key").select("t", "print", "node")
-        edges = stored(dealt.mapInArrow(_bucket_edges(blocks, None if last else crowded), "low long, high long"), "edges")
+        edges = stored(dealt.mapInArrow(released(_bucket_edges(blocks, None if last else crowded)), "low long, high long"), "edges")
         found = edges.where("high IS NOT NULL") if found is None else found.union(edges.where("high IS NOT NULL"))
         crowd = edges.where("high IS NULL").select(F.col("low").alias("node")).distinct()
         if last or crowd.isEmpty():

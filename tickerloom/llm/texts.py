@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import bound_batches
+from .common import bound_batches, released
 
 
 def with_columns(df: DataFrame, fn: Callable[[list], dict[str, Sequence]], fields: str, column: str = "text", keep: Sequence[str] | None = None) -> DataFrame:
@@ -31,7 +31,7 @@ def with_columns(df: DataFrame, fn: Callable[[list], dict[str, Sequence]], field
             arrays = [batch.column(n) for n in keep] + [pa.array(made[f.name], type=f.type) for f in kinds]
             yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *kinds.names])
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)
 
 
 def made_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, Sequence]], fields: str) -> DataFrame:
@@ -46,4 +46,4 @@ def made_rows(df: DataFrame, fn: Callable[[dict[str, list]], dict[str, Sequence]
                 made = fn(batch.to_pydict())
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], type=f.type) for f in kinds], schema=kinds)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(released(run), schema)

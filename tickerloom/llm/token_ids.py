@@ -26,6 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from .common import released
+
 ODD = (*range(0x1C, 0x20), 0x85, 0xA0, 0x1680, 0x180E, *range(0x2000, 0x200C), 0x2028, 0x2029, 0x202F, 0x205F, 0x2060, 0x3000, 0xFEFF)
 ODD_SPACE = re.compile("[" + "".join(map(chr, ODD)) + "]")
 #: Texts are cut in groups of about this many bytes; arrays of a group are some fifty times as large.
@@ -428,4 +430,4 @@ def tokenized(rows: DataFrame, path: str, end_id: int, more: Callable[[list[np.n
             arrays = [batch.column(n) for n in keep] + [pa.array(made[f.name], f.type) for f in kinds if f.name in made] + [column]
             yield pa.RecordBatch.from_arrays(arrays, names=kinds.names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(released(run), schema)
