@@ -1,3 +1,5 @@
+import subprocess
+import sys
 import zlib
 
 import corpus_pipeline as P
@@ -94,31 +96,36 @@ def test_run_equals_brute_force(spark, tmp_path, documents, texts, data):
     assert got == {d: np.array([*library.encode(t, add_special_tokens=False).ids, packing.END_ID], "<u4").tobytes() for d, t in left.items()}
 
 
-def test_workers_hand_memory_back(spark, documents):
-    """After a task a worker holds little more than before it, whatever its batches took."""
-    import os
+#: In a session of its own with one worker, so that all tasks run in the same process.
+HELD = """
+import pyarrow as pa
+from pyspark.sql import SparkSession
+from tickerloom.llm.texts import with_columns
+
+spark = SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false").getOrCreate()
+one = spark.createDataFrame([("a",)] * 50, "text string").repartition(1)
 
-    import pyarrow as pa
-    from tickerloom.llm.texts import with_columns
+def grown(texts):
+    kept = [bytes(1000 + k % 7) for k in range(60_000)]
+    return {"size": [pa.array([b"x" * 1000] * 30_000).nbytes + len(kept)] * len(texts)}
 
-    def grown(texts):
-        kept = [bytes(1000 + k % 7) for k in range(60_000)]
-        return {"pid": [os.getpid()] * len(texts), "pool": [pa.array([b"x" * 1000] * 30_000).nbytes + len(kept)] * len(texts)}
+def held(texts):
+    with open("/proc/self/smaps_rollup") as f:
+        mb = next(int(x.split()[1]) for x in f if x.startswith("Pss_Anon")) // 1024
+    return {"mb": [mb] * len(texts)}
 
-    def held(texts):
-        with open("/proc/self/smaps_rollup") as f:
-            mb = next(int(x.split()[1]) for x in f if x.startswith("Pss_Anon")) // 1024
-        return {"pid": [os.getpid()] * len(texts), "mb": [mb] * len(texts)}
+def now():
+    return with_columns(one, held, "mb long", keep=[]).first()[0]
 
-    one = documents.select("text").limit(50).repartition(1).cache()
+before = now()
+for _ in range(4):
+    with_columns(one, grown, "size long", keep=[]).collect()
+print("HELD", before, now())
+"""
 
-    def now():
-        return dict(with_columns(one, held, "pid long, mb long", keep=[]).distinct().rdd.map(tuple).collect())
 
-    before = now()
-    for _ in range(4):
-        with_columns(one, grown, "pid long, pool long", keep=[]).count()
-    after = now()
-    one.unpersist()
-    common = before.keys() & after.keys()
-    assert common and all(after[p] < before[p] + 40 for p in common), (before, after)
+def test_workers_hand_memory_back():
+    """After a task a worker holds little more than before it, whatever its batches took."""
+    said = subprocess.run([sys.executable, "-c", HELD], capture_output=True, text=True, timeout=120, check=True).stdout
+    before, after = map(int, said.split("HELD")[1].split())
+    assert after < before + 40, (before, after)
